@@ -85,12 +85,12 @@ def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 # --- a bit filter of fixed size over 64-bit keys -------------------------------------------------
 
-FILTER_BITS = 27
+FILTER_BITS = 28
 _SEGMENT = 20
 
 
 def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of 2**bits bits (16 MB by default, whatever the input) with a bit for each key.
+    """A bitmap of 2**bits bits (32 MB by default, whatever the input) with two bits for each key.
 
     Tests against it may say yes wrongly, never no wrongly; users do an exact check afterwards. Keys are
     dealt by bitmap segment, each task builds its segments, and only the finished bitmap reaches the driver.
@@ -109,8 +109,8 @@ def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndar
         for s, m in maps.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
-    bit = F.col(column).bitwiseAND(F.lit(mask))
-    dealt = keys.select(bit.alias("bit")).repartition(min(2 ** (bits - seg_bits), partitions(spark)), F.shiftright("bit", seg_bits))
+    low, high = F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 64 - bits)
+    dealt = keys.select(F.explode(F.array(low, high)).alias("bit")).repartition(min(2 ** (bits - seg_bits), partitions(spark)), F.shiftright("bit", seg_bits))
     out = np.zeros(2**bits // 8, np.uint8)
     for row in dealt.mapInArrow(build, "seg long, bits binary").toLocalIterator():
         at = row["seg"] * words
@@ -119,8 +119,11 @@ def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndar
 
 
 def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.astype(np.uint64, copy=False) & np.uint64(bitmap.size * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    keys, bits = keys.astype(np.uint64, copy=False), bitmap.size.bit_length() + 2
+    found = np.ones(len(keys), bool)
+    for at in (keys & np.uint64(2**bits - 1), keys >> np.uint64(64 - bits)):
+        found &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
 
 
 # --- 64-bit mixing -------------------------------------------------------------------------------
