@@ -1,8 +1,10 @@
 """The registered queries of this subpackage, one per operator."""
 
+from .simhash import op1_simhash
 from .substring import op8_substring_dedup
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLE = {}
