@@ -1,10 +1,12 @@
 """The registered queries of this subpackage, one per operator."""
 
 from .simhash import op1_simhash
+from .suffix import op4_suffix_dedup
 from .substring import op8_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLE = {}
