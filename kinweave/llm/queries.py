@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, one per operator."""
 
+from .bpe import op2_bpe
 from .simhash import op1_simhash
 from .suffix import op4_suffix_dedup
 from .substring import op8_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
