@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, one per operator."""
 
 from .bpe import op2_bpe
+from .langid import op10_language_id
 from .simhash import op1_simhash
 from .suffix import op4_suffix_dedup
 from .substring import op8_substring_dedup
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLE = {}
