@@ -2,6 +2,7 @@
 
 from .bpe import op2_bpe
 from .langid import op10_language_id
+from .decontaminate import op7_decontaminate
 from .simhash import op1_simhash
 from .suffix import op4_suffix_dedup
 from .substring import op8_substring_dedup
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_language_id": op10_language_id,
 }
