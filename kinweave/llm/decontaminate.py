@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HALF, MIN_WORDS, BLOCK, SHARD_ITEMS = 64, 5, 32, 4096
+HALF, MIN_WORDS, BLOCK, SHARD_ITEMS = 64, 5, 4, 1024
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
 K1, B = 1.2, 0.75
 _TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
