@@ -5,6 +5,10 @@ their counts differ by no more than the radius; inside, numpy exclusive-or and b
 fingerprints. A meeting emits a spanning forest of its links, not the links, so a group of thousands of copies
 costs one row a member. Components follow from large-star / small-star rounds.
 
+Near copies by similarity: wide fingerprints (``WORDS`` x 64 bits) of five-word shingles. SimHash distance measures
+an angle, and sets of Jaccard similarity s and like size have the cosine 2s / (1 + s); the radius is the distance
+that angle gives. Meetings filter on the first 64 bits and decide on all.
+
 Null text: no words, fingerprint zero, linked like any other. Null id: after every other id. Rows with one id and
 different fingerprints all stay; rows with one fingerprint share a component. Empty tables give empty results.
 """
@@ -40,13 +44,25 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(lo, hi, strict=True)], repeat(SEED)), np.uint64, len(hi))
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is set if over half of the hashes have it."""
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = np.ascontiguousarray(hashes[at : at + 65_536]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+    count = np.zeros((8, 256), np.int64)
+    for at in range(0, len(hashes), 1 << 20):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 20)]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        count += np.bincount((part + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits((2 * (count @ _BITS) > len(hashes)).ravel(), bitorder="little").view("<u8")[0])
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
+    for i in range(words):
+        out[i] = fingerprint(hashes)
+        with np.errstate(over="ignore"):
+            hashes = C.mix64(hashes + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -75,8 +91,11 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside x (y None) or between x and y, as indexes into x followed by y."""
+def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside x (y None) or between x and y, as indexes into x followed by y.
+
+    With ``wide``, the wide fingerprints of both in that order, links also need a wide distance of wide_radius at most.
+    """
     same = y is None
     y = x if same else y
     n, shift = len(x) + (0 if same else len(y)), 0 if same else len(x)
@@ -95,8 +114,12 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.nda
             hit = np.flatnonzero(near)
             if len(hit):
                 r, c = np.divmod(hit, near.shape[1])
-                a.append(r + i)
-                b.append(c + j + shift)
+                r, c = r + i, c + j + shift
+                if wide is not None:
+                    far = np.concatenate([np.bitwise_count(wide[r[k : k + 65536]] ^ wide[c[k : k + 65536]]).sum(axis=1) for k in range(0, len(r), 65536)])
+                    r, c = r[far <= wide_radius], c[far <= wide_radius]
+                a.append(r)
+                b.append(c)
                 held += len(r)
                 if held > 4_000_000:
                     p, q = forest()
@@ -105,13 +128,13 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.nda
 
 
 def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
-    """(x, y): tiles (arrays of (fp, rep)) that have to meet; y null for a tile by itself."""
+    """(x, y): tiles (arrays of the columns of reps) that have to meet; y null for a tile by itself."""
     count = {int(r["p"]): int(r["n"]) for r in reps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     size = min(TILE_MAX, max(TILE_MIN, sum(count.values()) // TILES))
     slots = F.array(*[F.lit(-(-count.get(p, 0) // size)) for p in range(65)])
     tiled = reps.withColumn("p", F.bit_count("fp").cast("int"))
     tiled = tiled.withColumn("s", F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), slots[F.col("p")])).cast("int"))
-    tiles = tiled.groupBy("p", "s").agg(F.collect_list(F.struct("fp", "rep")).alias("tile"))
+    tiles = tiled.groupBy("p", "s").agg(F.collect_list(F.struct(*reps.columns)).alias("tile"))
     slot_type = "array<struct<p:int,s:int>>"
 
     def meetings(q: Column) -> Column:
@@ -126,8 +149,12 @@ def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
     return sent.groupBy("lo", "hi").agg(*[F.first(F.when(side, F.col("tile")), ignorenulls=True).alias(name) for name, side in (("x", first), ("y", second))])
 
 
-def links(reps: DataFrame, radius: int) -> DataFrame:
-    """(a, b): representatives whose fingerprints differ in at most ``radius`` bits, reduced to spanning forests."""
+def links(reps: DataFrame, radius: int, wide_radius: int = 0) -> DataFrame:
+    """(a, b): representatives whose fingerprints differ in at most ``radius`` bits, reduced to spanning forests.
+
+    reps: (fp, rep), and for similarity (fp, rep, wide).
+    """
+    has_wide = "wide" in reps.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +162,10 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
                 parts = [t.values if (t := b.column(name)[k]).is_valid else None for name in ("x", "y")]
                 fp = [None if p is None else p.field("fp").to_numpy(zero_copy_only=False).view(np.uint64) for p in parts]
                 rep = np.concatenate([p.field("rep").to_numpy(zero_copy_only=False) for p in parts if p is not None])
-                node, to = tile_links(fp[0], fp[1], radius)
+                wide = None
+                if has_wide:
+                    wide = np.concatenate([np.frombuffer(b"".join(p.field("wide").to_pylist()), np.uint64).reshape(len(p), -1) for p in parts if p is not None])
+                node, to = tile_links(fp[0], fp[1], radius, wide, wide_radius)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[node]), pa.array(rep[to])], ["a", "b"])
 
     met = tile_pairs(reps, radius)
@@ -152,6 +182,53 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("did", "fp", "component")
 
 
+# --- near copies by similarity -------------------------------------------------------------------
+
+SHINGLE, SIMILARITY, WORDS, FIRST_RADIUS = 5, 0.8, 8, 20
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Expected distance of fingerprints of two shingle sets with this Jaccard similarity."""
+    return round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row, that of the smallest id, of each group linked by near copies; ties go to the smaller text hash."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    rows = C.keyed(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide, seq = [], []
+            for t in C.texts_of(b, "text"):
+                wide.append(wide_fingerprint(shingle_hashes(t.lower().split(), shingle), WORDS))
+                seq.append(xxhash.xxh3_64_intdigest(t))
+            first = np.array([w[0] for w in wide], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), C.signed(np.array(seq, np.uint64)), C.signed(first), pa.array([w.tobytes() for w in wide], pa.binary())], ["did", "seq", "fp", "wide"])
+
+    prints = C.stored(rows.select("did", "text").mapInArrow(run, "did long, seq long, fp long, wide binary"), "wide-prints")
+    # equal fingerprints are one node, named by a hash of the fingerprint
+    node = F.xxhash64("wide")
+    nodes = C.stored(prints.groupBy("fp", "wide", node.alias("rep")).agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
+    C.small_batches(spark, 8)
+    found = C.connected_components(links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity, 64 * WORDS)), "near-copies")
+    classes = nodes.join(found, nodes.rep == found.node, "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("low").alias("low"))
+    kept = C.stored(classes.select("low.did", "low.seq").distinct(), "kept")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq = np.array([xxhash.xxh3_64_intdigest(t) for t in C.texts_of(b, "text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), C.signed(seq), b.column(1)], ["did", "seq", "row"])
+
+    C.small_batches(spark)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID))
+    packed = docs.select(did.alias("did"), whole.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    keyed = packed.mapInArrow(hashed, f"did long, seq long, row {packed.schema['row'].dataType.simpleString()}")
+    return keyed.join(kept, ["did", "seq"], "left_semi").dropDuplicates(["did", "seq"]).select("row.*")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(fingerprints(C.table(spark, sf_dir, "documents"), shingle=3), radius=3)
     return found.select(C.plain_id().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), C.plain_id("component").alias("component_id"))

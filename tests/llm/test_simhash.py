@@ -86,3 +86,40 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000), (5, 5)], "a long, b long")
     got = {(x.node, x.component) for x in common.connected_components(edges, "t").collect()}
     assert got == {(i, 0) for i in range(1, 301)} | {(2000, 1000)}
+
+
+def test_near_copies_leave_one_row_of_each_group(spark):
+    r = random.Random(8)
+    rows, groups = [], {}
+    for g in range(30):
+        base = [f"w{r.randint(0, 3000)}" for _ in range(r.randint(150, 400))]
+        for k in range(r.randint(1, 5)):
+            words = list(base)
+            for _ in range(min(k, 2)):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 3000)}"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(words), g))
+    rows += [(900, "one two", 0), (901, None, 0), (902, "", 0), (903, None, 0), (904, "one three", 0), (905, "one two", 0), (905, "one two", 0), (None, "one two", 1), (None, "own text here", 1)]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, seq long"))
+    assert got.columns == ["doc_id", "text", "seq"]
+    ids = [x.doc_id for x in got.collect()]
+    assert len(ids) == len(set(ids))
+    first = {}
+    for d, g in groups.items():
+        first.setdefault(g, d)
+    assert set(ids) == set(first.values()) | {900, 901, 904, None}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.without_near_copies(empty).count() == 0
+
+
+def test_wide_distance_follows_similarity():
+    r = np.random.default_rng(3)
+    for similarity in (0.6, 0.8, 0.9):
+        far = []
+        for _ in range(40):
+            n = 600
+            both = r.integers(0, 2**63, n, dtype=np.uint64)
+            own = int(n * (1 - similarity) / (2 * similarity))
+            x, y = (np.concatenate([both, r.integers(0, 2**63, own, dtype=np.uint64)]) for _ in range(2))
+            far.append(np.bitwise_count(simhash.wide_fingerprint(common.mix64(x), 8) ^ simhash.wide_fingerprint(common.mix64(y), 8)).sum())
+        assert abs(np.mean(far) - simhash.radius_of(similarity, 512)) < 6
