@@ -29,6 +29,7 @@ from .pieces import Pieces, byte_of_char, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 _TABLE_CELLS = 2_000_000
+_HEAD = 4
 
 
 class Automaton:
@@ -48,7 +49,11 @@ class Automaton:
         for t in sorted(self.left, key=self.birth.__getitem__):
             if all(self.whole.get(labels[x]) == x for x in (self.left[t], self.right[t])) and self._alive(self.left[t], self.right[t], self.birth[t]):
                 self.whole[labels[t]] = t
-        self.longest = max(map(len, self.whole), default=1)
+        #: Width of the widest arc by the first _HEAD bytes of its label.
+        self.reach: dict[bytes, int] = {}
+        for label in self.whole:
+            if len(label) >= _HEAD:
+                self.reach[label[:_HEAD]] = max(len(label), self.reach.get(label[:_HEAD], 0))
 
     def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
         self.death.setdefault((u, v), time)  # arc v behind u ends now
@@ -84,7 +89,8 @@ class Automaton:
         if (t := self.whole.get(word)) is not None:
             return [t]
         n, at = len(word), 0
-        width = min(self.longest, n)
+        reach = self.reach.get
+        width = min(reach(word[:_HEAD], _HEAD - 1), n)
         path: list[int] = []
         widths: list[int] = []
         closed = bytearray(n + 1)  # one path reaches each place, so a place that led nowhere once leads nowhere
@@ -104,7 +110,7 @@ class Automaton:
                 path.append(t)
                 widths.append(width)
                 at += width
-                width = min(self.longest, n - at)
+                width = min(reach(word[at : at + _HEAD], _HEAD - 1), n - at)
             else:
                 closed[at] = 1
                 path.pop()
@@ -126,13 +132,16 @@ class Coder:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.labels = labels | {i: k.encode() for k, i in self.added.items()}
+        self.label_of = np.empty(max(self.labels) + 1, object)
+        for i, label in self.labels.items():
+            self.label_of[i] = label
         self.pieces = Pieces(self.added, lambda w: np.array(self.automaton.encode(w.encode()), np.int32).tobytes())
 
     def encode(self, text: str) -> np.ndarray:
         return self.pieces.ids(text)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(self.label_of[ids].tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -145,6 +154,12 @@ def ids_array(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
 
+def id_lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The ids of each row; none for null."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, rest, ids array<int>)."""
     C.small_batches(docs.sparkSession, 256)
@@ -165,14 +180,14 @@ def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        name = {i: str(i) for i in c.labels}
+        name = np.array([str(i) for i in range(len(c.label_of))], object)
         for b in batches:
-            ids = b.column(b.schema.get_field_index("ids")).to_pylist()
+            ids = id_lists(b.column(b.schema.get_field_index("ids")))
             own = [b.column(b.schema.get_field_index(k)) for k in kept]
             if not digest:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([c.decode(x) for x in ids], pa.string())], [*kept, "text"])
                 continue
-            said = [hashlib.sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest() for x in ids]
+            said = [hashlib.sha256(",".join(name[x].tolist()).encode()).hexdigest() for x in ids]
             back = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([*own, pa.array(list(map(len, ids)), pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
 

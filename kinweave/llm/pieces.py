@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,11 +11,14 @@ import regex
 
 #: The pre-splitting pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_PIECES = 400_000
+#: Entries of a memo's younger half; when it is full it becomes the older one, and entries in use move back.
+MEMO_PIECES = 300_000
 _MEMO_CHARS = 64
 _SPLIT = regex.compile(PATTERN)
-#: Where cutting at each space is not the same as the pattern: a space before other white space or at an end.
-_UNEVEN = re.compile(r" \s|^ | $")
+
+
+class _Uneven(Exception):
+    """Cutting at each space is not the same as the pattern: a space stands before white space or at an end."""
 
 
 @lru_cache(2)
@@ -33,44 +35,49 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """What short keys map to, computed on first use; holds at most twice MEMO_PIECES."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.old.get(key)) is None:
+            found = self.compute(key)
+        if len(key) <= _MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Pieces:
     """Encodes texts piece by piece; ``encode(word)`` gives the ids of one pre-split word as int32 bytes."""
 
     def __init__(self, special: dict[str, int], encode: Callable[[str], bytes]):
-        self.special, self.encode = special, encode
-        self.words: dict[str, bytes] = {}
+        self.special = special
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        outer = self
-
-        class Memo(dict):
-            def __missing__(self, piece: str) -> bytes:
-                word = " " + piece
-                ids = outer._word(word) if piece.isascii() and piece.isalpha() else outer._slow(word)
-                if len(piece) <= _MEMO_CHARS:
-                    if len(self) >= MEMO_PIECES:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.memo = Memo()
-
-    def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            ids = self.encode(word)
-            if len(word) <= _MEMO_CHARS:
-                if len(self.words) >= MEMO_PIECES:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        self.words, self.memo = Memo(encode), Memo(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace():
+            raise _Uneven
+        word = " " + piece
+        return self.words[word] if piece.isascii() and piece.isalpha() else self._slow(word)
 
     def _slow(self, text: str) -> bytes:
-        return b"".join(map(self._word, _SPLIT.findall(text)))
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
 
     def _plain(self, text: str) -> bytes:
-        if _UNEVEN.search(text):
-            return self._slow(text)
         first, *rest = text.split(" ")
-        return self._slow(first) + b"".join(map(self.memo.__getitem__, rest))
+        if rest and not first:
+            return self._slow(text)
+        try:
+            return self._slow(first) + b"".join(map(self.memo.__getitem__, rest))
+        except _Uneven:
+            return self._slow(text)
 
     def ids(self, text: str) -> np.ndarray:
         if self.cut is None or not self.cut.search(text):
