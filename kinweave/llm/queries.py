@@ -5,6 +5,7 @@ from .langid import op10_language_id
 from .decontaminate import op7_decontaminate
 from .simhash import op1_simhash
 from .suffix import op4_suffix_dedup
+from .sstable import op9_token_tables
 from .substring import op8_substring_dedup
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_tables": op9_token_tables,
     "op10_language_id": op10_language_id,
 }
 ORACLE = {}
