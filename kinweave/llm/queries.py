@@ -2,6 +2,8 @@
 
 from .bpe import op2_bpe
 from .langid import op10_language_id
+from .chat import ORACLE as CHAT_SQL
+from .chat import op5_chat
 from .decontaminate import op7_decontaminate
 from .simhash import op1_simhash
 from .warc import ORACLE as WARC_SQL
@@ -15,9 +17,10 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_chat": op5_chat,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_tables": op9_token_tables,
     "op10_language_id": op10_language_id,
 }
-ORACLE = {"op3_warc": WARC_SQL}
+ORACLE = {"op3_warc": WARC_SQL, "op5_chat": CHAT_SQL}
