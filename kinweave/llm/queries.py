@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, one per operator."""
 
+from .ann import op6_nearest_neighbours
 from .bpe import op2_bpe
 from .langid import op10_language_id
 from .chat import ORACLE as CHAT_SQL
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat": op5_chat,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_tables": op9_token_tables,
