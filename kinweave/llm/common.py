@@ -85,44 +85,57 @@ def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 # --- a bit filter of fixed size over 64-bit keys -------------------------------------------------
 
-FILTER_BITS = 28
+FILTER_BITS = 30
 _SEGMENT = 20
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of 2**bits bits (32 MB by default, whatever the input) with two bits for each key.
+_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
-    Tests against it may say yes wrongly, never no wrongly; users do an exact check afterwards. Keys are
-    dealt by bitmap segment, each task builds its segments, and only the finished bitmap reaches the driver.
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        return [((keys * m) >> np.uint64(64 - bits)).astype(np.int64) for m in _PROBES]
+
+
+def bit_filter(keys: DataFrame, column: str, max_bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap with four bits for each key: 32 to 64 bits a key, 2**max_bits (128 MB by default) at most.
+
+    Tests against it may say yes wrongly, never no wrongly; users do an exact check afterwards, so a full bitmap costs
+    work and nothing else. Keys are dealt by bitmap segment, each task builds its segments, and only the finished
+    bitmap reaches the driver.
     """
-    spark, seg_bits = keys.sparkSession, min(_SEGMENT, bits)
-    words, mask = 2**seg_bits // 8, 2**bits - 1
+    spark = keys.sparkSession
+    keys = stored(keys.select(column), "filter-keys")
+    bits = min(max_bits, max(16, (32 * keys.count()).bit_length()))
+    seg_bits = min(_SEGMENT, bits)
+    words = 2**seg_bits // 8
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> seg_bits), pa.array(at)], ["seg", "bit"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
         for b in batches:
-            bit = b.column(0).to_numpy(zero_copy_only=False)
+            bit = b.column(0).to_numpy()
             for s in np.unique(bit >> seg_bits):
-                own = (bit[bit >> seg_bits == s]) & (2**seg_bits - 1)
-                m = maps.setdefault(int(s), np.zeros(words * 8, bool))
-                m[own] = True
+                maps.setdefault(int(s), np.zeros(words * 8, bool))[bit[bit >> seg_bits == s] & (2**seg_bits - 1)] = True
         for s, m in maps.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
-    low, high = F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 64 - bits)
-    dealt = keys.select(F.explode(F.array(low, high)).alias("bit")).repartition(min(2 ** (bits - seg_bits), partitions(spark)), F.shiftright("bit", seg_bits))
+    dealt = keys.mapInArrow(places, "seg long, bit long").repartition(min(2 ** (bits - seg_bits), partitions(spark)), "seg")
     out = np.zeros(2**bits // 8, np.uint8)
-    for row in dealt.mapInArrow(build, "seg long, bits binary").toLocalIterator():
+    for row in dealt.select("bit").mapInArrow(build, "seg long, bits binary").toLocalIterator():
         at = row["seg"] * words
         out[at : at + words] |= np.frombuffer(row["bits"], np.uint8)
     return out
 
 
 def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    keys, bits = keys.astype(np.uint64, copy=False), bitmap.size.bit_length() + 2
     found = np.ones(len(keys), bool)
-    for at in (keys & np.uint64(2**bits - 1), keys >> np.uint64(64 - bits)):
-        found &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    for at in _places(keys.astype(np.uint64, copy=False), bitmap.size.bit_length() + 2):
+        found &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return found
 
 

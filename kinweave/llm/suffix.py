@@ -14,7 +14,7 @@ id: two rows with one id are two places. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM = 200, 32
-_SEGMENT, _CHUNK, _BIG = 1 << 18, 1 << 20, 1 << 24
+_SEGMENT, _CHUNK = 1 << 18, 1 << 19
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _COPY, _TWICE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -42,12 +42,12 @@ def _loads(data: np.ndarray, order: str) -> np.ndarray:
 def prefix_ranks(data: np.ndarray, cap: int) -> list[tuple[int, np.ndarray]]:
     """(n, ranks): order of the n-byte strings at each position, for n = 8, 16, .. and last n = cap (8 at least)."""
     assert cap >= 8
-    out = [(8, np.unique(_loads(data, ">"), return_inverse=True)[1])]
+    out = [(8, np.unique(_loads(data, ">"), return_inverse=True)[1].astype(np.int32))]
     while out[-1][0] < cap:
         n, r = out[-1]
         more = min(n, cap - n)
-        pair = r[: len(r) - more] * np.int64(len(r) + 1) + r[more:]
-        out.append((n + more, np.unique(pair, return_inverse=True)[1]))
+        pair = r[: len(r) - more].astype(np.int64) * (len(r) + 1) + r[more:]
+        out.append((n + more, np.unique(pair, return_inverse=True)[1].astype(np.int32)))
     return out
 
 
@@ -136,12 +136,24 @@ def _runs(text: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
 # --- the operator --------------------------------------------------------------------------------
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int = C.FILTER_BITS) -> DataFrame:
-    """(did, text, rest, spans): spans are [start, end) byte ranges covered by strings of ``length`` that stand elsewhere too."""
+Emit = Callable[[pa.RecordBatch, list[bytes], list[list[dict[str, int]]]], pa.RecordBatch]
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | None = None) -> DataFrame:
+    """(did, text, rest, spans): spans are [start, end) byte ranges covered by strings of ``length`` that stand elsewhere too.
+
+    ``emit`` makes other columns (``fields``) of a batch (did, text, rest), its texts and their spans, in the same pass.
+    """
     assert length >= 16
     spark: SparkSession = docs.sparkSession
     C.small_batches(spark)
     rows = C.keyed(docs, id_col, text_col)
+    rest = rows.schema["rest"].dataType.simpleString()
+    if emit is None:
+        fields = f"did long, text string, rest {rest}, spans {_SPANS_SQL}"
+
+        def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], names=[*b.schema.names, "spans"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unlike = np.random.default_rng()
@@ -162,18 +174,26 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = found.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
     bitmap = spark.sparkContext.broadcast(C.bit_filter(hot, "key", filter_bits))
 
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sorted_out(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        texts, seqs, flags = list(C.texts_of(b, "text")), [], []
+        for text in texts:
+            seq = np.uint64(xxhash.xxh3_64_intdigest(text))
+            seqs.append(seq)
+            flags.append(len(text) >= length and bool(C.in_filter(bitmap.value, np.array([seq ^ _COPY]))[0] or C.in_filter(bitmap.value, runs(text, length)[0]).any()))
+        return texts, np.array(seqs, np.uint64), np.array(flags, bool)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs, flags = [], []
-            for text in C.texts_of(b, "text"):
-                seq = np.uint64(xxhash.xxh3_64_intdigest(text))
-                seqs.append(seq)
-                flags.append(len(text) >= length and bool(C.in_filter(bitmap.value, np.array([seq ^ _COPY]))[0] or C.in_filter(bitmap.value, runs(text, length)[0]).any()))
-            yield pa.RecordBatch.from_arrays([*b.columns, C.signed(np.array(seqs, np.uint64)), pa.array(flags)], names=[*b.schema.names, "seq", "hit"])
+            _, seqs, flags = sorted_out(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, C.signed(seqs)], names=[*b.schema.names, "seq"]).filter(pa.array(flags))
 
-    rest = rows.schema["rest"].dataType.simpleString()
-    flagged = rows.mapInArrow(flag, f"did long, text string, rest {rest}, seq long, hit boolean")
-    hits = C.stored(flagged.where("hit"), "byte-repeats").drop("hit")
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, _, flags = sorted_out(b)
+            texts = [t for t, f in zip(texts, flags, strict=True) if not f]
+            yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
+
+    hits = C.stored(rows.mapInArrow(candidates, f"did long, text string, rest {rest}, seq long"), "byte-repeats")
 
     def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,18 +209,21 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_key(batches):
-            again, context = group["again"], group["context"]
-            spans: list[list[dict[str, int]]] = [[] for _ in context]
-            if len(context) > 1 or not again[0]:
-                ends = np.cumsum([len(x) for x in context])
+            again, context, key = group["again"], group["context"], np.array(group["key"])
+            spans: list[list[dict[str, int]]] = [[{"start": 0, "end": len(x)}] if a else [] for a, x in zip(again, context, strict=True)]
+            new = key[1:] != key[:-1]
+            alone = np.r_[True, new] & np.r_[new, True]
+            # a context that stands twice is covered; it is sorted only for others of its key to meet
+            rows = [i for i in range(len(context)) if not (alone[i] and again[i])]
+            if rows:
+                ends = np.cumsum([len(context[i]) for i in rows])
                 begin = np.r_[0, ends[:-1]]
                 starts = np.concatenate([np.arange(a, z - length + 1) for a, z in zip(begin, ends, strict=True)])
-                earlier, later = longest_factors(np.frombuffer(b"".join(context), np.uint8), starts, length)
+                earlier, later = longest_factors(np.frombuffer(b"".join([context[i] for i in rows]), np.uint8), starts, length)
                 hit = starts[np.maximum(earlier, later) >= length]
-                for i, part in enumerate(np.split(hit, np.searchsorted(hit, begin[1:]))):
+                for i, a, part in zip(rows, begin, np.split(hit, np.searchsorted(hit, begin[1:])), strict=True):
                     if len(part) and not again[i]:
-                        spans[i] = merge_spans(part - begin[i], length)
-            spans = [[{"start": 0, "end": len(x)}] if a else s for x, a, s in zip(context, again, spans, strict=True)]
+                        spans[i] = merge_spans(part - a, length)
             keep = [i for i, s in enumerate(spans) if s]
             yield pa.RecordBatch.from_arrays([pa.array([group[c][i] for i in keep], pa.int64()) for c in ("key", "c1", "c2")] + [pa.array([spans[i] for i in keep], _SPANS)], ["key", "c1", "c2", "spans"])
 
@@ -211,16 +234,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = places.groupBy("did", "seq").agg(F.flatten(F.collect_set(moved)).alias("parts"))
     whole = hits.groupBy("seq").agg((F.count("*") > 1).alias("whole")).where("whole")
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, parts, all_of in zip(C.texts_of(b, "text"), b.column(b.schema.get_field_index("parts")).to_pylist(), b.column(b.schema.get_field_index("whole")).to_pylist(), strict=True):
-                out.append([{"start": 0, "end": len(text)}] if all_of else join_spans(parts or []))
-            names = ["did", "text", "rest"]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names], pa.array(out, _SPANS)], names=[*names, "spans"])
+            texts = list(C.texts_of(b, "text"))
+            out = [[{"start": 0, "end": len(t)}] if all_of else join_spans(p or []) for t, p, all_of in zip(texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield emit(b.select([0, 1, 2]), texts, out)
 
-    resolved = hits.join(parts, ["did", "seq"], "left").join(whole, "seq", "left").select("did", "text", "rest", "parts", "whole").mapInArrow(spans, f"did long, text string, rest {rest}, spans {_SPANS_SQL}")
-    return flagged.where("not hit").select("did", "text", "rest", F.expr(f"cast(array() as {_SPANS_SQL})").alias("spans")).unionByName(resolved)
+    resolved = hits.join(parts, ["did", "seq"], "left").join(whole, "seq", "left").select("did", "text", "rest", "parts", "whole")
+    return rows.mapInArrow(clean, fields).unionByName(resolved.mapInArrow(repeats, fields))
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -274,19 +295,18 @@ def earlier_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return C.keyed(docs, id_col, text_col).select("did", "text").mapInArrow(run, "did long, start long, length long")
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of :func:`find_repeats`."""
+def digests(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) from the spans of :func:`find_repeats`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for text, spans in zip(C.texts_of(b, "text"), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
-                kept = remaining(text, spans)
-                for to, x in zip(out, (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    out = found.select("did", "text", "spans").mapInArrow(run, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for text, own in zip(texts, spans, strict=True):
+            kept = remaining(text, own)
+            for to, x in zip(out, (len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest()), strict=True):
+                to.append(x)
+        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = find_repeats(docs, emit=emit, fields="did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **how)
     return out.select(C.plain_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -299,4 +319,4 @@ def remaining(text: bytes, spans: list[dict[str, int]]) -> bytes:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(find_repeats(C.table(spark, sf_dir, "documents")))
+    return digests(C.table(spark, sf_dir, "documents"))

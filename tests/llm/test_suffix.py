@@ -48,7 +48,7 @@ def test_matches_brute_force(spark):
     rows = sample()
     docs = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, key int")
     for length, bits in ((200, 28), (40, 4)):
-        got = sorted(tuple(x) for x in suffix.digests(suffix.find_repeats(docs, length=length, filter_bits=bits)).collect())
+        got = sorted(tuple(x) for x in suffix.digests(docs, length=length, filter_bits=bits).collect())
         assert got == brute(rows, length)
 
 
@@ -57,7 +57,7 @@ def test_long_text_in_segments(spark, monkeypatch):
     r = random.Random(1)
     t = "".join(r.choice("ab cde") for _ in range(2000))
     rows = [(1, t), (2, t[500:1400] + "z" + t[200:450])]
-    got = sorted(tuple(x) for x in suffix.digests(suffix.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    got = sorted(tuple(x) for x in suffix.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows, 200)
 
 
@@ -79,7 +79,7 @@ def test_longest_factors():
 
 
 def test_empty(spark):
-    assert suffix.digests(suffix.find_repeats(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    assert suffix.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_keep_first_inside_a_text(spark):
