@@ -14,7 +14,7 @@ under a window stay whole. An empty table gives an empty result. Extra columns c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -83,11 +83,23 @@ def _sequence(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words))
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, filter_bits: int = C.FILTER_BITS) -> DataFrame:
-    """(did, text, rest, spans): spans are [start, end) word ranges, sorted and disjoint, that repeat a document of smaller id."""
+Emit = Callable[[pa.RecordBatch, list[bytes], list[list[dict[str, int]]]], pa.RecordBatch]
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | None = None) -> DataFrame:
+    """(did, text, rest, spans): spans are [start, end) word ranges, sorted and disjoint, that repeat a document of smaller id.
+
+    ``emit`` makes other columns (``fields``) of a batch (did, text, rest), its texts and their spans, in the same pass.
+    """
     spark: SparkSession = docs.sparkSession
     C.small_batches(spark)
     rows, scan = C.keyed(docs, id_col, text_col), _Scan(window, period)
+    rest = rows.schema["rest"].dataType.simpleString()
+    if emit is None:
+        fields = f"did long, text string, rest {rest}, spans array<struct<start:int,end:int>>"
+
+        def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], names=[*b.schema.names, "spans"])
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,20 +118,27 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = anchors.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
     bitmap = spark.sparkContext.broadcast(C.bit_filter(hot, "key", filter_bits))
 
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sorted_out(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        texts, seqs, flags = list(C.texts_of(b, "text")), [], []
+        for text in texts:
+            words = text.split()
+            seq = np.uint64(_sequence(words))
+            seqs.append(seq)
+            flags.append(len(words) >= window and bool(C.in_filter(bitmap.value, np.array([seq ^ _COPY]))[0] or len(scan.candidates(word_hashes(words), bitmap.value))))
+        return texts, np.array(seqs, np.uint64), np.array(flags, bool)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs, flags = [], []
-            for text in C.texts_of(b, "text"):
-                words = text.split()
-                seq = np.uint64(_sequence(words))
-                hit = len(words) >= window and (C.in_filter(bitmap.value, np.array([seq ^ _COPY]))[0] or len(scan.candidates(word_hashes(words), bitmap.value)) > 0)
-                seqs.append(seq)
-                flags.append(bool(hit))
-            yield pa.RecordBatch.from_arrays([*b.columns, C.signed(np.array(seqs, np.uint64)), pa.array(flags)], names=[*b.schema.names, "seq", "hit"])
+            _, seqs, flags = sorted_out(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, C.signed(seqs)], names=[*b.schema.names, "seq"]).filter(pa.array(flags))
 
-    rest = rows.schema["rest"].dataType.simpleString()
-    flagged = rows.mapInArrow(flag, f"did long, text string, rest {rest}, seq long, hit boolean")
-    hits = C.stored(flagged.where("hit"), "repeats").drop("hit")
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, _, flags = sorted_out(b)
+            texts = [t for t, f in zip(texts, flags, strict=True) if not f]
+            yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
+
+    hits = C.stored(rows.mapInArrow(candidates, f"did long, text string, rest {rest}, seq long"), "repeats")
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,24 +156,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # both sides are at most the rows of `hits`
     found = whole.join(late, ["did", "seq"], "full")
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, at, all_of in zip(C.texts_of(b, "text"), b.column(b.schema.get_field_index("at")).to_pylist(), b.column(b.schema.get_field_index("whole")).to_pylist(), strict=True):
+            texts, out = list(C.texts_of(b, "text")), []
+            for text, at, all_of in zip(texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if all_of:
                     out.append([{"start": 0, "end": len(text.split())}])
-                elif at:
-                    out.append(merge_spans(np.sort(np.array(at, np.int64)), window))
                 else:
-                    out.append([])
-            names = ["did", "text", "rest"]
-            cols = [b.column(b.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, _SPANS)], names=[*names, "spans"])
+                    out.append(merge_spans(np.sort(np.array(at, np.int64)), window) if at else [])
+            yield emit(b.select([0, 1, 2]), texts, out)
 
-    kind = f"did long, text string, rest {rest}, spans array<struct<start:int,end:int>>"
-    resolved = hits.join(found, ["did", "seq"], "left").select("did", "text", "rest", "at", "whole").mapInArrow(spans, kind)
-    clean = flagged.where("not hit").select("did", "text", "rest", F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-    return clean.unionByName(resolved)
+    resolved = hits.join(found, ["did", "seq"], "left").select("did", "text", "rest", "at", "whole")
+    return rows.mapInArrow(clean, fields).unionByName(resolved.mapInArrow(repeats, fields))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -175,38 +188,34 @@ def kept_words(text: bytes, spans: list[dict[str, int]]) -> tuple[list[bytes], i
     return (out + words[at:] if spans else words), len(words)
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of :func:`find_repeats`."""
+def digests(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) from the spans of :func:`find_repeats`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, gone, sha = [], [], []
-            for text, spans in zip(C.texts_of(b, "text"), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
-                kept, total = kept_words(text, spans)
-                n.append(total)
-                gone.append(total - len(kept))
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["did", "n_words", "n_removed", "kept_sha256"])
-
-    out = found.select("did", "text", "spans").mapInArrow(run, "did long, n_words long, n_removed long, kept_sha256 string")
+    def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+        n, gone, sha = [], [], []
+        for text, own in zip(texts, spans, strict=True):
+            kept, total = kept_words(text, own)
+            n.append(total)
+            gone.append(total - len(kept))
+            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["did", "n_words", "n_removed", "kept_sha256"])
+
+    out = find_repeats(docs, emit=emit, fields="did long, n_words long, n_removed long, kept_sha256 string", **how)
     return out.select(C.plain_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with repeated words cut out (kept words joined by one space); documents of which nothing is left go."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, spans in zip(C.texts_of(b, "text"), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
-                out.append(b" ".join(kept_words(text, spans)[0]).decode() if spans else text.decode())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rest")), pa.array(out), pa.array([bool(x) for x in b.column(b.schema.get_field_index("spans")).to_pylist()])], ["rest", "kept", "cut"])
-
-    found = find_repeats(docs, id_col, text_col, **how)
-    rest = found.schema["rest"].dataType.simpleString()
-    out = found.mapInArrow(run, f"rest {rest}, kept string, cut boolean").where("not cut or kept <> ''")
+    def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+        kept = [(b" ".join(kept_words(t, s)[0]) if s else t).decode() for t, s in zip(texts, spans, strict=True)]
+        left = pa.array([bool(k) or not s for k, s in zip(kept, spans, strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([b.column(2), pa.array(kept, pa.string())], ["rest", "kept"]).filter(left)
+
+    rest = C.keyed(docs, id_col, text_col).schema["rest"].dataType.simpleString()
+    out = find_repeats(docs, id_col, text_col, emit=emit, fields=f"rest {rest}, kept string", **how)
     return out.select(*[F.col("kept").alias(text_col) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(find_repeats(C.table(spark, sf_dir, "documents")))
+    return digests(C.table(spark, sf_dir, "documents"))

@@ -46,22 +46,22 @@ def sample():
 def test_matches_brute_force(spark):
     rows = sample()
     docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], SCHEMA)
-    got = sorted(tuple(x) for x in substring.digests(substring.find_repeats(docs)).collect())
+    got = sorted(tuple(x) for x in substring.digests(docs).collect())
     assert got == brute(rows, 50)
 
 
 def test_other_windows_and_a_full_filter(spark):
     rows = sample()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.digests(substring.find_repeats(docs, window=20, period=13, filter_bits=3)).collect()
+    got = substring.digests(docs, window=20, period=13, filter_bits=3).collect()
     assert sorted(tuple(x) for x in got) == brute(rows, 20)
 
 
 def test_empty_and_null_ids(spark):
-    assert substring.digests(substring.find_repeats(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    assert substring.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = " ".join(map(str, range(60)))
     docs = spark.createDataFrame([(None, text), (5, text), (5, text), (7, "a")], "doc_id long, text string")
-    got = {(x.doc_id, x.n_removed) for x in substring.digests(substring.find_repeats(docs)).collect()}
+    got = {(x.doc_id, x.n_removed) for x in substring.digests(docs).collect()}
     assert got == {(None, 60), (5, 0), (7, 0)}
 
 
