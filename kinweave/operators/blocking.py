@@ -98,7 +98,7 @@ def key_candidates(recs: DataFrame, cfg: Config, families: tuple[int, ...] = (NT
     q = kept.where("side = 'q'").select("ckey", "ktype", "a", "b", "w", F.col("rec_id").alias("q_id"))
     i = kept.where("side = 'i'").select("ckey", "ktype", "a", "b", F.col("rec_id").alias("i_id"))
     pairs = q.join(i, ["ckey", "ktype", "a", "b"]).groupBy("ckey", "q_id", "i_id")
-    scored = pairs.agg(F.sum("w").alias("bscore"), F.bit_or(F.shiftleft(F.lit(1), F.col("ktype"))).alias("bits"))
+    scored = pairs.agg(F.sum("w").alias("bscore"), F.bit_or(F.expr("shiftleft(1, ktype)")).alias("bits"))
     return top_candidates(scored, cfg.k_key)
 
 

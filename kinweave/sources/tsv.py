@@ -59,7 +59,7 @@ def parse_id_map(rows: DataFrame, header: str = "source1_entity_id") -> DataFram
     first = rows.agg(F.min("row_no")).first()[0]
     body = rows.where((F.col("value") != "") & ~((F.col("row_no") == F.lit(first)) & F.startswith("value", F.lit(header))))
     parts = F.split("value", "\t", 2)
-    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     out = body.select("row_no", F.get(parts, F.lit(0)).alias("s1_id"), ids.alias("ids"))
     w = W.partitionBy("s1_id").orderBy(F.desc("row_no"))
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
