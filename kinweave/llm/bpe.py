@@ -28,7 +28,7 @@ from . import common as C
 from .pieces import Pieces, byte_of_char, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
-_TABLE_CELLS = 2_000_000
+_TABLE_CELLS = 200_000
 _HEAD = 4
 
 
@@ -160,44 +160,59 @@ def id_lists(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, rest, ids array<int>)."""
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+class _Digests:
+    """n_tokens, SHA-256 of the ids joined by commas, and SHA-256 of the text they decode to."""
+
+    def __init__(self, c: Coder):
+        self.coder, self.name = c, np.array([str(i) for i in range(len(c.label_of))], object)
+
+    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
+        said = [hashlib.sha256(",".join(self.name[x].tolist()).encode()).hexdigest() for x in ids]
+        back = [hashlib.sha256(self.coder.decode(x).encode()).hexdigest() for x in ids]
+        return [pa.array(list(map(len, ids)), pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(did, rest, ids array<int>); with ``digest`` the ids are decoded again in the same pass, and the digests of both added."""
     C.small_batches(docs.sparkSession, 256)
     rows = C.keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
+        d = _Digests(c)
         for b in batches:
             ids = [c.encode(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("rest")), ids_array(ids)], ["did", "rest", "ids"])
+            more = d.columns(ids) if digest else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("rest")), ids_array(ids), *more], ["did", "rest", "ids", "n_tokens", "ids_sha256", "decoded_sha256"][: 3 + len(more)])
 
-    return rows.mapInArrow(run, f"did long, rest {rows.schema['rest'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"did long, rest {rows.schema['rest'].dataType.simpleString()}, ids array<int>" + (f", {_DIGESTS}" if digest else ""))
 
 
 def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
-    """The columns of ``encoded`` but its ids, with the text they spell; with ``digest``, n_tokens and SHA-256 of ids and text instead."""
+    """The columns of ``encoded`` but its ids, with the text they spell; with ``digest``, the digests instead."""
     kept = [c for c in encoded.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        name = np.array([str(i) for i in range(len(c.label_of))], object)
+        d = _Digests(c)
         for b in batches:
             ids = id_lists(b.column(b.schema.get_field_index("ids")))
             own = [b.column(b.schema.get_field_index(k)) for k in kept]
-            if not digest:
+            if digest:
+                yield pa.RecordBatch.from_arrays([*own, *d.columns(ids)], [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([c.decode(x) for x in ids], pa.string())], [*kept, "text"])
-                continue
-            said = [hashlib.sha256(",".join(name[x].tolist()).encode()).hexdigest() for x in ids]
-            back = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(list(map(len, ids)), pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
-    return encoded.mapInArrow(run, f"{fields}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "text string"))
+    return encoded.mapInArrow(run, f"{fields}, " + (_DIGESTS if digest else "text string"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    found = decode(encode(C.table(spark, sf_dir, "documents"), path).drop("rest"), path, digest=True)
+    found = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, digest=True)
     return found.select(C.plain_id().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

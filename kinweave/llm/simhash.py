@@ -28,7 +28,7 @@ from . import common as C
 
 SEED = 42
 TILE_MAX, TILE_MIN, TILES = 131_072, 2_048, 16
-_ROWS, _COLS = 1024, 4096
+_ROWS, _COLS = 1024, 2048
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarra
                 a.append(r)
                 b.append(c)
                 held += len(r)
-                if held > 4_000_000:
+                if held > 500_000:
                     p, q = forest()
                     a, b, held = [p], [q], len(p)
     return forest()
@@ -129,10 +129,12 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarra
 
 def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
     """(x, y): tiles (arrays of the columns of reps) that have to meet; y null for a tile by itself."""
-    count = {int(r["p"]): int(r["n"]) for r in reps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    step = max(1, radius // 2)  # tiles hold a class of population counts
+    reach = (radius + step - 1) // step
+    tiled = reps.withColumn("p", F.expr(f"cast(bit_count(fp) div {step} as int)"))
+    count = {int(r["p"]): int(r["n"]) for r in tiled.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     size = min(TILE_MAX, max(TILE_MIN, sum(count.values()) // TILES))
-    slots = F.array(*[F.lit(-(-count.get(p, 0) // size)) for p in range(65)])
-    tiled = reps.withColumn("p", F.bit_count("fp").cast("int"))
+    slots = F.array(*[F.lit(-(-count.get(p, 0) // size)) for p in range(64 // step + 1)])
     tiled = tiled.withColumn("s", F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), slots[F.col("p")])).cast("int"))
     tiles = tiled.groupBy("p", "s").agg(F.collect_list(F.struct(*reps.columns)).alias("tile"))
     slot_type = "array<struct<p:int,s:int>>"
@@ -141,12 +143,13 @@ def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
         n = F.get(slots, q)
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.struct(q.alias("p"), s.alias("s")))).otherwise(F.lit(None).cast(slot_type))
 
-    reach = F.sequence(F.greatest(F.col("p") - radius, F.lit(0)), F.least(F.col("p") + radius, F.lit(64)))
-    near = F.flatten(F.filter(F.transform(reach, meetings), lambda x: x.isNotNull()))
+    classes = F.sequence(F.greatest(F.col("p") - reach, F.lit(0)), F.least(F.col("p") + reach, F.lit(64 // step)))
+    near = F.flatten(F.filter(F.transform(classes, meetings), lambda x: x.isNotNull()))
     sent = tiles.select(F.struct("p", "s").alias("own"), "tile", F.explode(near).alias("other"))
     sent = sent.select("own", "tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     first, second = F.col("own") == F.col("lo"), (F.col("own") == F.col("hi")) & (F.col("lo") != F.col("hi"))
-    return sent.groupBy("lo", "hi").agg(*[F.first(F.when(side, F.col("tile")), ignorenulls=True).alias(name) for name, side in (("x", first), ("y", second))])
+    dealt = sent.repartition(4 * C.partitions(reps.sparkSession), "lo", "hi")
+    return dealt.groupBy("lo", "hi").agg(*[F.first(F.when(side, F.col("tile")), ignorenulls=True).alias(name) for name, side in (("x", first), ("y", second))])
 
 
 def links(reps: DataFrame, radius: int, wide_radius: int = 0) -> DataFrame:
@@ -168,13 +171,12 @@ def links(reps: DataFrame, radius: int, wide_radius: int = 0) -> DataFrame:
                 node, to = tile_links(fp[0], fp[1], radius, wide, wide_radius)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[node]), pa.array(rep[to])], ["a", "b"])
 
-    met = tile_pairs(reps, radius)
-    return met.select("x", "y").repartition(4 * C.partitions(reps.sparkSession)).mapInArrow(run, "a long, b long")
+    return tile_pairs(reps, radius).select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(did, fp, component) for (did, fp); component is the smallest id reachable over links, itself included."""
-    C.small_batches(prints.sparkSession, 8)
+    C.small_batches(prints.sparkSession, 1)
     prints = C.stored(prints, "fingerprints")
     reps = C.stored(prints.groupBy("fp").agg(F.min("did").alias("rep")), "representatives")
     found = C.connected_components(links(reps, radius), "simhash")
@@ -211,7 +213,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # equal fingerprints are one node, named by a hash of the fingerprint
     node = F.xxhash64("wide")
     nodes = C.stored(prints.groupBy("fp", "wide", node.alias("rep")).agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
-    C.small_batches(spark, 8)
+    C.small_batches(spark, 1)
     found = C.connected_components(links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity, 64 * WORDS)), "near-copies")
     classes = nodes.join(found, nodes.rep == found.node, "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("low").alias("low"))
     kept = C.stored(classes.select("low.did", "low.seq").distinct(), "kept")
