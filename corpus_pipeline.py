@@ -42,9 +42,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs, path).withColumn("token_ids", F.col("ids"))
-    found = bpe.decode(encoded, path, digest=True)
-    return found.select(common.plain_id().alias("doc_id"), "rest.lang", "rest.source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    found = bpe.encode(docs, path, digest=True)
+    return found.select(common.plain_id().alias("doc_id"), "rest.lang", "rest.source", "n_tokens", F.col("ids").alias("token_ids"), "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
