@@ -343,7 +343,7 @@ def _chosen(recs):
 
 @query(f"""WITH {S.PAIRS}, lab AS (SELECT o.q_id, o.p, CASE WHEN t.q_id IS NULL THEN 0 ELSE 1 END AS y FROM one o LEFT JOIN truth t ON t.q_id = o.q_id AND t.i_id = o.i_id),
 g AS (SELECT q_id, count(*) AS G FROM truth GROUP BY q_id),
-tau AS (SELECT round(0.05 + 0.025 * i, 3) AS tau FROM range(0, 37) x(i)),
+tau AS (SELECT round((0.05 + 0.025 * i)::DOUBLE, 3) AS tau FROM range(0, 37) x(i)),
 per AS (SELECT tau, q_id, count(*) AS P, sum(y) AS TP FROM lab JOIN tau ON p >= tau GROUP BY ALL),
 grid AS (SELECT tau, e.q_id, coalesce(g.G, 0) AS G, coalesce(per.P, 0) AS P, coalesce(per.TP, 0) AS TP FROM ent e CROSS JOIN tau LEFT JOIN g USING (q_id) LEFT JOIN per USING (tau, q_id))
 SELECT tau, round(avg({S.F05}), 6) AS f05 FROM grid GROUP BY tau""")
@@ -387,7 +387,7 @@ def score_rollup(spark, d):
 @query(f"""WITH {S.PAIRS}, h AS (SELECT t.q_id, count(*) AS G, count(c.q_id) AS hit FROM truth t LEFT JOIN cand c ON c.q_id = t.q_id AND c.i_id = t.i_id GROUP BY t.q_id),
 s AS (SELECT q_id, count(*) AS cand FROM cand GROUP BY q_id),
 x AS (SELECT e.*, coalesce(G, 0) AS G, coalesce(hit, 0) AS hit, coalesce(cand, 0) AS cand FROM ent e LEFT JOIN h USING (q_id) LEFT JOIN s USING (q_id))
-SELECT coalesce(country, 'ALL') AS country, count(*) AS n, round(sum(hit) / sum(G), 6) AS recall, round(avg({S.f05_sql("G", "hit", "hit")}), 6) AS ceiling, round(avg(cand), 6) AS cand_per_entity, count(*) FILTER (WHERE G > 0 AND hit = 0) AS lost, count(*) FILTER (WHERE cand = 0) AS without_candidates FROM x GROUP BY ROLLUP (country)""")
+SELECT coalesce(country, 'ALL') AS country, count(*) AS n, round(sum(hit) / nullif(sum(G), 0), 6) AS recall, round(avg({S.f05_sql("G", "hit", "hit")}), 6) AS ceiling, round(avg(cand), 6) AS cand_per_entity, count(*) FILTER (WHERE G > 0 AND hit = 0) AS lost, count(*) FILTER (WHERE cand = 0) AS without_candidates FROM x GROUP BY ROLLUP (country)""")
 def blocking_ceiling(spark, d):
     recs = S.records(spark, d)
     x = E.blocking_quality(S.entities(recs), S.truth(recs), S.scored(recs))
