@@ -18,8 +18,10 @@ kept, ordered by text hash. Null text has the end id only. An empty table makes
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .files import published, reader
-from .pieces import MEMO_PIECES
 
 MAGIC = b"KWSSTAB1"
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
@@ -43,12 +44,17 @@ _FOOTER = struct.Struct("<6Q8s")
 # --- encoding with the library -------------------------------------------------------------------
 
 
+_TAIL = string.punctuation
+MEMO_WORDS, _ROW = 450_000, 500
+
+
 class LibraryCoder:
     """The tokenizers library behind a memo of pieces between spaces.
 
     A piece that starts with a space and has no white space after it is cut off there by byte-level pre-splitting
-    whatever surrounds it, so its ids can be kept; texts in which a space stands before white space or at an end, or
-    that hold an added token, are given to the library in whole.
+    whatever surrounds it, so its ids can be kept; and a word of Latin letters is cut from the ASCII punctuation that
+    ends it, so the two are kept apart and each word is encoded once with whatever follows it. Texts in which a space
+    stands before white space or at an end, or that hold an added token, are given to the library in whole.
     """
 
     def __init__(self, path: str):
@@ -61,9 +67,53 @@ class LibraryCoder:
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        blank = self.tool.encode(" ", add_special_tokens=False).tokens[0][0]
+        vocab = self.tool.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(blank)]] = True
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a blank in front: encoded in rows, and parted where a token opens with the blank."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + _ROW] for i in range(0, len(pieces), _ROW)]
+        for own, e in zip(groups, self.tool.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = array("i", e.ids)
+            at = np.flatnonzero(self.opens[np.frombuffer(ids, np.int32)])
+            if len(at) != len(own) or at[0]:
+                out += self._whole([" " + p for p in own])
+                continue
+            data, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            out += [data[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _cut(piece: str) -> tuple[str, str] | None:
+        """Word and punctuation of a piece that is one of each."""
+        word = piece.rstrip(_TAIL)
+        return (word, piece[len(word) :]) if len(word) < len(piece) and word.isalpha() and max(word) < "\u0250" else None
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put pieces into the memo; a piece of punctuation alone is keyed with a blank in front, as no piece is."""
+        memo, old = self.memo, self.old
+        parts, fresh = {}, set()
+        for p in pieces:
+            if (ids := old.get(p)) is not None:
+                memo[p] = ids
+            elif (both := self._cut(p)) is not None:
+                parts[p] = both
+                fresh.add(both[0])
+                fresh.add(" " + both[1])
+            else:
+                fresh.add(p)
+        words = [p for p in fresh if p[0] != " " and p not in memo]
+        tails = [p for p in fresh if p[0] == " " and p not in memo]
+        memo.update(zip(words, self._pieces(words), strict=True))
+        memo.update(zip(tails, self._whole([t[1:] for t in tails]), strict=True))
+        for p, (word, tail) in parts.items():
+            memo[p] = memo[word] + memo[" " + tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes | None] = [None] * len(texts)
@@ -73,22 +123,19 @@ class LibraryCoder:
                 pieces = text.split(" ")
                 if pieces[0] or len(pieces) == 1:
                     cut[i] = pieces
-        missing = set().union(*[p[1:] for p in cut.values()]).difference(self.memo)
-        for p in [p for p in missing if p in self.old]:
-            self.memo[p] = self.old[p]
-            missing.discard(p)
-        uneven = {p for p in missing if not p or p[0].isspace()}
-        fresh = list(missing - uneven)
-        self.memo.update(zip(fresh, self._whole([" " + p for p in fresh]), strict=True))
-        if uneven:
-            cut = {i: p for i, p in cut.items() if uneven.isdisjoint(p[1:])}
         firsts = self._whole([p[0] for p in cut.values()])
+        for p in cut.values():
+            del p[0]
+        missing = set().union(*cut.values()).difference(self.memo)
+        uneven = {p for p in missing if not p or p[0].isspace()}
+        self._learn(missing - uneven)
         for (i, pieces), first in zip(cut.items(), firsts, strict=True):
-            out[i] = first + b"".join(map(self.memo.__getitem__, pieces[1:]))
+            if not uneven or uneven.isdisjoint(pieces):
+                out[i] = first + b"".join(map(self.memo.__getitem__, pieces))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > MEMO_WORDS:
             self.old, self.memo = self.memo, {}
         return [np.frombuffer(x, np.int32) for x in out]
 
@@ -272,11 +319,19 @@ def write_table(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_id
     return [(r["name"], r["docs"], r["ids"]) for r in sorted(found, key=lambda r: r["part"])]
 
 
-def read_table(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
-    """(did, start, ids): start is the number of ids in all rows before."""
+def read_table(spark: SparkSession, shards: list[tuple[str, int, int]], digest: bool = False) -> DataFrame:
+    """(did, start, ids): start is the number of ids in all rows before; with ``digest`` (did, start, n_tokens, ids_crc32)."""
     base = np.cumsum([0, *[s[2] for s in shards]]).tolist()
     work = spark.sparkContext.broadcast([(name, b) for (name, _, _), b in zip(shards, base, strict=False)])
 
+    def rows(did: list[int], start: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+        from .bpe import ids_array
+
+        own = [pa.array(did, pa.int64()), pa.array(start, pa.int64())]
+        if digest:
+            return pa.RecordBatch.from_arrays([*own, pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], ["did", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([*own, ids_array([x.astype(np.int32) for x in ids])], ["did", "start", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
@@ -285,39 +340,25 @@ def read_table(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataF
                 for d, x in Shard(name).scan():
                     did.append(d)
                     start.append(at)
-                    ids.append(x.astype(np.int32))
+                    ids.append(x)
                     at += len(x)
                     size += len(x)
                     if size > 1 << 20:
-                        yield _rows(did, start, ids)
+                        yield rows(did, start, ids)
                         did, start, ids, size = [], [], [], 0
-                yield _rows(did, start, ids)
-
-    return spark.range(0, len(shards), 1, max(len(shards), 1)).mapInArrow(run, "did long, start long, ids array<int>")
-
-
-def _rows(did: list[int], start: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
-    from .bpe import ids_array
-
-    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(start, pa.int64()), ids_array(ids)], ["did", "start", "ids"])
+                yield rows(did, start, ids)
 
+    kind = "did long, start long, n_tokens long, ids_crc32 long" if digest else "did long, start long, ids array<int>"
+    return spark.range(0, len(shards), 1, max(len(shards), 1)).mapInArrow(run, kind)
 
-def digests(found: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of :func:`read_table`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .bpe import id_lists
-
-        for b in batches:
-            ids = id_lists(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], ["did", "start", "n_tokens", "ids_crc32"])
 
-    out = found.mapInArrow(run, "did long, start long, n_tokens long, ids_crc32 long")
-    return out.select(C.plain_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+def digests(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) read back from shards."""
+    return read_table(spark, shards, digest=True).select(C.plain_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     shards = write_table(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), C.scratch(spark, "token-tables"))
-    return digests(read_table(spark, shards))
+    return digests(spark, shards)
