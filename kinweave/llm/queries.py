@@ -11,6 +11,7 @@ from .warc import ORACLE as WARC_SQL
 from .warc import op3_warc
 from .suffix import op4_suffix_dedup
 from .sstable import op9_token_tables
+from .substring import ORACLE as SUBSTRING_SQL
 from .substring import op8_substring_dedup
 
 QUERIES = {
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_token_tables": op9_token_tables,
     "op10_language_id": op10_language_id,
 }
-ORACLE = {"op3_warc": WARC_SQL, "op5_chat": CHAT_SQL}
+ORACLE = {"op3_warc": WARC_SQL, "op5_chat": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL}

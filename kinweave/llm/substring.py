@@ -219,3 +219,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(C.table(spark, sf_dir, "documents"))
+
+
+#: The same rows in SQL: every window of every text, by hash.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), first AS (
+  SELECT h, min(doc_id) AS first FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i FROM win JOIN first USING (h) WHERE first < doc_id), range(0, 50) t(k)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
