@@ -24,6 +24,7 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ _FOOTER = struct.Struct("<6Q8s")
 
 
 _TAIL = string.punctuation
-MEMO_WORDS, _ROW = 450_000, 500
+MEMO_WORDS, _ROW = 1_100_000, 500
 
 
 class LibraryCoder:
@@ -89,57 +90,68 @@ class LibraryCoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _cut(piece: str) -> tuple[str, str] | None:
-        """Word and punctuation of a piece that is one of each."""
-        word = piece.rstrip(_TAIL)
-        return (word, piece[len(word) :]) if len(word) < len(piece) and word.isalpha() and max(word) < "\u0250" else None
-
     def _learn(self, pieces: set[str]) -> None:
-        """Put pieces into the memo; a piece of punctuation alone is keyed with a blank in front, as no piece is."""
+        """Put pieces into the memo; punctuation alone is keyed with a blank in front, as no piece is."""
         memo, old = self.memo, self.old
-        parts, fresh = {}, set()
+        parts, words, tails = {}, set(), set()
         for p in pieces:
             if (ids := old.get(p)) is not None:
                 memo[p] = ids
-            elif (both := self._cut(p)) is not None:
-                parts[p] = both
-                fresh.add(both[0])
-                fresh.add(" " + both[1])
+            elif p[-1] in _TAIL and (word := p.rstrip(_TAIL)).isalpha() and max(word) < "\u0250":
+                parts[p] = word, " " + p[len(word) :]
+                words.add(word)
+                tails.add(" " + p[len(word) :])
             else:
-                fresh.add(p)
-        words = [p for p in fresh if p[0] != " " and p not in memo]
-        tails = [p for p in fresh if p[0] == " " and p not in memo]
-        memo.update(zip(words, self._pieces(words), strict=True))
-        memo.update(zip(tails, self._whole([t[1:] for t in tails]), strict=True))
+                words.add(p)
+        for group, encoded in ((words, self._pieces), (tails, lambda new: self._whole([t[1:] for t in new]))):
+            new = []
+            for p in group:
+                if p in memo:
+                    continue
+                if (ids := old.get(p)) is not None:
+                    memo[p] = ids
+                else:
+                    new.append(p)
+            memo.update(zip(new, encoded(new), strict=True))
         for p, (word, tail) in parts.items():
-            memo[p] = memo[word] + memo[" " + tail]
+            memo[p] = memo[word] + memo[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
+        cut: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        known, missing, firsts = self.memo.get, set(), []
         for i, text in enumerate(texts):
-            if not any(a in text for a in self.added):
-                pieces = text.split(" ")
-                if pieces[0] or len(pieces) == 1:
-                    cut[i] = pieces
-        firsts = self._whole([p[0] for p in cut.values()])
-        for p in cut.values():
-            del p[0]
-        missing = set().union(*cut.values()).difference(self.memo)
-        uneven = {p for p in missing if not p or p[0].isspace()}
-        self._learn(missing - uneven)
-        for (i, pieces), first in zip(cut.items(), firsts, strict=True):
-            if not uneven or uneven.isdisjoint(pieces):
-                out[i] = first + b"".join(map(self.memo.__getitem__, pieces))
+            if any(a in text for a in self.added):
+                continue
+            first, *pieces = text.split(" ")
+            ids = list(map(known, pieces))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+            new = [pieces[k] for k in gaps]
+            if pieces and not first or any(not p or p[0].isspace() for p in new):
+                continue
+            missing.update(new)
+            firsts.append(first)
+            cut.append((i, pieces, ids, gaps))
+        self._learn(missing)
+        memo = self.memo
+        for (i, pieces, ids, gaps), first in zip(cut, self._whole(firsts), strict=True):
+            for k in gaps:
+                ids[k] = memo[pieces[k]]
+            out[i] = first + b"".join(ids)
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
-        if len(self.memo) > MEMO_WORDS:
-            self.old, self.memo = self.memo, {}
+        if len(memo) > MEMO_WORDS:
+            self.old, self.memo = memo, {}
         return [np.frombuffer(x, np.int32) for x in out]
 
 
+@lru_cache(1)
+def library_coder(path: str) -> LibraryCoder:
+    """One for all tasks of a worker, so its memo lasts."""
+    return LibraryCoder(path)
+
+
 # --- the format ----------------------------------------------------------------------------------
 
 
@@ -301,7 +313,7 @@ def write_table(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_id
     dealt = rows.repartitionByRange(C.partitions(spark), "did").sortWithinPartitions("did", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = LibraryCoder(tokenizer)
+        coder = library_coder(tokenizer)
         end = np.array([] if end_id is None else [end_id], np.int32)
 
         def encoded() -> Iterator[tuple[int, np.ndarray]]:
