@@ -188,7 +188,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             more = d.columns(ids) if digest else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("rest")), ids_array(ids), *more], ["did", "rest", "ids", "n_tokens", "ids_sha256", "decoded_sha256"][: 3 + len(more)])
 
-    return rows.mapInArrow(run, f"did long, rest {rows.schema['rest'].dataType.simpleString()}, ids array<int>" + (f", {_DIGESTS}" if digest else ""))
+    return rows.mapInArrow(run, C.fields("did long", ("rest", rows.schema["rest"].dataType), "ids array<int>" + (f", {_DIGESTS}" if digest else "")))
 
 
 def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
@@ -206,8 +206,7 @@ def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([c.decode(x) for x in ids], pa.string())], [*kept, "text"])
 
-    fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
-    return encoded.mapInArrow(run, f"{fields}, " + (_DIGESTS if digest else "text string"))
+    return encoded.mapInArrow(run, C.fields(*[(c, encoded.schema[c].dataType) for c in kept], _DIGESTS if digest else "text string"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null document id inside the operators; sorts after every id.
 NULL_ID = 2**63 - 1
@@ -61,12 +62,31 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Input columns ride in one struct, so their names never clash with the operator's own.
     """
-    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    did = F.coalesce(named(id_col).cast("long"), F.lit(NULL_ID))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    rest = F.struct(*[named(c).alias(c) for c in docs.columns if c != text_col])
     return docs.select(did.alias("did"), text.alias("text"), rest.alias("rest"))
 
 
+def fields(*pairs: tuple[str, str | T.DataType] | str) -> T.StructType:
+    """A schema from (name, type) pairs and DDL strings; any column name is fine inside a type."""
+    out = T.StructType()
+    for p in pairs:
+        if isinstance(p, str):
+            out = T.StructType(out.fields + T.StructType.fromDDL(p).fields)
+        else:
+            out = out.add(p[0], T.StructType.fromDDL(f"x {p[1]}")["x"].dataType if isinstance(p[1], str) else p[1])
+    return out
+
+
+def named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*[named(c).alias(c) for c in df.columns])
+
+
 def plain_id(did: str = "did") -> Column:
     return F.when(F.col(did) != NULL_ID, F.col(did))
 

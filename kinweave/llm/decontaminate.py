@@ -188,7 +188,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
     C.small_batches(spark)
     shared = [spark.sparkContext.broadcast(i) for i in build(items)]
     at = docs.columns.index(text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(C.whole_row(docs).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +198,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
                 clean.append(not any(i.value.search(words, threshold, overlap) for i in shared))
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.mapInArrow(run, C.fields(("row", rows.schema["row"].dataType))).select("row.*")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(C.whole_row(docs).alias("row"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             said = [m.predict(t) for t in b.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64()), pa.array([s < AMBIGUOUS for _, s in said], pa.bool_())], ["row", "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(run, C.fields(("row", rows.schema["row"].dataType), "lang_pred string, score double, ambiguous boolean"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

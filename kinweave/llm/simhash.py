@@ -224,10 +224,10 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), C.signed(seq), b.column(1)], ["did", "seq", "row"])
 
     C.small_batches(spark)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = C.whole_row(docs)
     did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID))
     packed = docs.select(did.alias("did"), whole.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keyed = packed.mapInArrow(hashed, f"did long, seq long, row {packed.schema['row'].dataType.simpleString()}")
+    keyed = packed.mapInArrow(hashed, C.fields("did long, seq long", ("row", packed.schema["row"].dataType)))
     return keyed.join(kept, ["did", "seq"], "left_semi").dropDuplicates(["did", "seq"]).select("row.*")
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -86,7 +87,7 @@ def _sequence(words: list[bytes]) -> int:
 Emit = Callable[[pa.RecordBatch, list[bytes], list[list[dict[str, int]]]], pa.RecordBatch]
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | T.StructType | None = None) -> DataFrame:
     """(did, text, rest, spans): spans are [start, end) word ranges, sorted and disjoint, that repeat a document of smaller id.
 
     ``emit`` makes other columns (``fields``) of a batch (did, text, rest), its texts and their spans, in the same pass.
@@ -94,9 +95,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark: SparkSession = docs.sparkSession
     C.small_batches(spark)
     rows, scan = C.keyed(docs, id_col, text_col), _Scan(window, period)
-    rest = rows.schema["rest"].dataType.simpleString()
+    rest = rows.schema["rest"].dataType
     if emit is None:
-        fields = f"did long, text string, rest {rest}, spans array<struct<start:int,end:int>>"
+        fields = C.fields("did long, text string", ("rest", rest), "spans array<struct<start:int,end:int>>")
 
         def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], names=[*b.schema.names, "spans"])
@@ -138,7 +139,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t for t, f in zip(texts, flags, strict=True) if not f]
             yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
 
-    hits = C.stored(rows.mapInArrow(candidates, f"did long, text string, rest {rest}, seq long"), "repeats")
+    hits = C.stored(rows.mapInArrow(candidates, C.fields("did long, text string", ("rest", rest), "seq long")), "repeats")
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,9 +213,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = pa.array([bool(k) or not s for k, s in zip(kept, spans, strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([b.column(2), pa.array(kept, pa.string())], ["rest", "kept"]).filter(left)
 
-    rest = C.keyed(docs, id_col, text_col).schema["rest"].dataType.simpleString()
-    out = find_repeats(docs, id_col, text_col, emit=emit, fields=f"rest {rest}, kept string", **how)
-    return out.select(*[F.col("kept").alias(text_col) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])
+    rest = C.keyed(docs, id_col, text_col).schema["rest"].dataType
+    out = find_repeats(docs, id_col, text_col, emit=emit, fields=C.fields(("rest", rest), "kept string"), **how)
+    return out.select(*[F.col("kept").alias(text_col) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -139,7 +140,7 @@ def _runs(text: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
 Emit = Callable[[pa.RecordBatch, list[bytes], list[list[dict[str, int]]]], pa.RecordBatch]
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | T.StructType | None = None) -> DataFrame:
     """(did, text, rest, spans): spans are [start, end) byte ranges covered by strings of ``length`` that stand elsewhere too.
 
     ``emit`` makes other columns (``fields``) of a batch (did, text, rest), its texts and their spans, in the same pass.
@@ -148,9 +149,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark: SparkSession = docs.sparkSession
     C.small_batches(spark)
     rows = C.keyed(docs, id_col, text_col)
-    rest = rows.schema["rest"].dataType.simpleString()
+    rest = rows.schema["rest"].dataType
     if emit is None:
-        fields = f"did long, text string, rest {rest}, spans {_SPANS_SQL}"
+        fields = C.fields("did long, text string", ("rest", rest), f"spans {_SPANS_SQL}")
 
         def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], names=[*b.schema.names, "spans"])
@@ -193,7 +194,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t for t, f in zip(texts, flags, strict=True) if not f]
             yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
 
-    hits = C.stored(rows.mapInArrow(candidates, f"did long, text string, rest {rest}, seq long"), "byte-repeats")
+    hits = C.stored(rows.mapInArrow(candidates, C.fields("did long, text string", ("rest", rest), "seq long")), "byte-repeats")
 
     def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

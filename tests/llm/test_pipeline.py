@@ -69,3 +69,18 @@ def test_empty_table(spark, planted, tmp_path):
     spark.read.parquet(f"{at}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{at}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_odd_columns(spark, planted):
+    """Names that clash with the operators' own, and names that are no identifiers."""
+    from pyspark.sql import functions as F
+
+    at, docs, _ = planted
+    frame = spark.read.parquet(f"{at}/documents.parquet").limit(30)
+    for name in ("did", "rest", "row", "seq", "a b-c.d", "score", "lang_pred", "kept", "component", "fp"):
+        frame = frame.withColumn(name, F.col("doc_id") * 2)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, frame, at)
+        assert out.dtypes == frame.dtypes
+        assert all(r["did"] == r["a b-c.d"] == r["doc_id"] * 2 for r in out.collect())
+    assert P.STAGES[-1][1](spark, frame, at).count() == frame.count()
