@@ -151,6 +151,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     windows = hits.select("did", "seq", "text").mapInArrow(window_rows, "w1 long, w2 long, did long, seq long, at int")
     first = windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
+    # stored, so that the join deals both sides anew and Spark can split a window that very many documents hold
+    first = C.stored(first, "repeated-windows")
     late = windows.join(first, ["w1", "w2"]).where("did > first").groupBy("did", "seq").agg(F.collect_set("at").alias("at"))
     copies = hits.groupBy("seq").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
     whole = hits.select("did", "seq").join(copies, "seq").where("did > first").select("did", "seq").distinct().withColumn("whole", F.lit(True))
