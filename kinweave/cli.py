@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .operators import decide as D
 from .operators import diagnostics as E
+from .plans import learn as L
 from .plans import pipeline as P
 from .sources import tsv
 from .sources.stages import save_report, stage
@@ -36,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     cfg = Config(**{f.name: getattr(a, f.name) for f in fields(Config) if hasattr(a, f.name)})
     read = lambda folder: (tsv.read_records(spark, f"{folder}/s1.tsv"), tsv.index_union(*[tsv.read_records(spark, f"{folder}/s{k}.tsv") for k in (2, 3)]))
     s1, index = read(a.data)
-    truth = tsv.explode_truth(tsv.read_id_map(spark, f"{a.data}/ground_truth.tsv")) if a.command not in ("predict",) else None
+    truth = tsv.explode_truth(tsv.read_id_map(spark, f"{a.data}/ground_truth.tsv")) if a.command != "predict" else None
     base = f"{a.work}/train"
     if a.command in ("prepare", "block", "features", "blocking-report"):
         recs = stage(spark, base, cfg, "records", lambda: P.prepare(s1, index))
@@ -52,8 +53,12 @@ def main(argv: list[str] | None = None) -> int:
         chosen = tsv.explode_truth(tsv.read_id_map(spark, a.pred))
         E.score_rollup(D.entity_counts(entities, truth, chosen)).show(100, False)
         return 0
-    model = P.train(spark, base, s1, index, truth if truth is not None else tsv.explode_truth(tsv.read_id_map(spark, f"{a.data}/ground_truth.tsv")), cfg)
-    save_report(spark, f"{a.out}/report", {"holdout_f05": model["holdout_f05"], "decision": model["decision"]})
+    if a.command == "predict":
+        model = L.load_run(spark, f"{a.work}/models")
+    else:
+        model = P.train(spark, base, s1, index, truth, cfg)
+        L.save_run(spark, model, f"{a.work}/models")
+        save_report(spark, f"{a.out}/report", {"holdout_f05": model["holdout_f05"], "decision": model["decision"]})
     if a.command in ("all", "predict"):
         t1, ti = read(a.test or a.data)
         matches, cands = P.predict(spark, f"{a.work}/test", t1, ti, model, cfg)

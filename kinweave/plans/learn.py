@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +65,25 @@ def apply_calibration(x: DataFrame, model: Model, p: str, name: str) -> DataFram
     return out.drop("prediction")
 
 
+def save_run(spark: SparkSession, model: dict, path: str) -> None:
+    """Keep what training made: a folder a model, and a report naming folds, decision and configuration."""
+    from ..sources.stages import save_report
+
+    for part in ("stage1", "stage2"):
+        for f, m in model[part].items():
+            m.write().overwrite().save(f"{path}/{part}/{f}")
+    model["calibration"].write().overwrite().save(f"{path}/calibration")
+    save_report(spark, f"{path}/meta", {"stage1": sorted(model["stage1"]), "stage2": sorted(model["stage2"]), **{k: model[k] for k in ("decision", "config", "holdout_f05")}})
+
+
+def load_run(spark: SparkSession, path: str) -> dict:
+    from ..sources.stages import load_report
+
+    meta = load_report(spark, f"{path}/meta")
+    parts = {part: {f: GBTClassificationModel.load(f"{path}/{part}/{f}") for f in meta[part]} for part in ("stage1", "stage2")}
+    return meta | parts | {"calibration": IsotonicRegressionModel.load(f"{path}/calibration")}
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     y = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("y"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from kinweave.config import Config
+from kinweave.plans import learn as L
 from kinweave.plans import pipeline as P
 from kinweave.plans.queries import ORACLE, QUERIES
 from kinweave.sources.synthetic import generate
@@ -37,6 +38,8 @@ def test_train_and_predict_on_generated_records(spark, tmp_path):
     cfg = Config(rounds=3, tree_depth=3, min_leaf=2, k_key=10, stage1_folds=(0, 1), stage2_folds=(2, 3, 4))
     model = P.train(spark, f"{tmp_path}/train", s1, index, truth, cfg)
     assert 0 <= model["holdout_f05"] <= 1
+    L.save_run(spark, model, f"{tmp_path}/models")
+    model = L.load_run(spark, f"{tmp_path}/models")
     matches, cands = P.predict(spark, f"{tmp_path}/test", s1, index, model, cfg)
     got, all_of = {r.source1_entity_id: r.ids for r in matches.collect()}, {r.source1_entity_id: set(r.ids.split(",")) for r in cands.collect()}
     assert len(got) == 120 and set(got) == set(all_of)
