@@ -95,10 +95,11 @@ def key_candidates(recs: DataFrame, cfg: Config, families: tuple[int, ...] = (NT
     """(ckey, q_id, i_id, bscore, bits, brank): the k_key best index records of each query record."""
     keys = build_keys(recs, cfg, families).distinct()
     kept = keys.join(usable_keys(keys, index_sizes(recs), cfg), ["ckey", "ktype", "a", "b"])
-    q = kept.where("side = 'q'").select("ckey", "ktype", "a", "b", "w", F.col("rec_id").alias("q_id"))
-    i = kept.where("side = 'i'").select("ckey", "ktype", "a", "b", F.col("rec_id").alias("i_id"))
-    pairs = q.join(i, ["ckey", "ktype", "a", "b"]).groupBy("ckey", "q_id", "i_id")
-    scored = pairs.agg(F.sum("w").alias("bscore"), F.bit_or(F.expr("shiftleft(1, ktype)")).alias("bits"))
+    # the caps bound both lists of a key, and the join has brought its rows together already
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("rec_id")))
+    lists = kept.groupBy("ckey", "ktype", "a", "b").agg(F.first("w").alias("w"), side("q").alias("qs"), side("i").alias("is"))
+    pairs = lists.select("ckey", "ktype", "w", F.explode("qs").alias("q_id"), "is").select("ckey", "ktype", "w", "q_id", F.explode("is").alias("i_id"))
+    scored = pairs.groupBy("ckey", "q_id", "i_id").agg(F.sum("w").alias("bscore"), F.bit_or(F.expr("shiftleft(1, ktype)")).alias("bits"))
     return top_candidates(scored, cfg.k_key)
 
 

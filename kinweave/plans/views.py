@@ -17,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as records: the first four tokens are the name, the next twelve the address; every third one asks."""
+    """documents as records: the first four tokens are the name, the next twelve the address; every third one asks.
+
+    Prepared records are a stage that a plan reads many times, so they are kept (spilling to disk) once made.
+    """
     toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("lang").alias("ckey"), F.md5("text").alias("h"), toks.alias("toks"))
     d = d.select("rec_id", "ckey", "h", (1 + F.col("rec_id") % 3).alias("src"), F.when(F.col("rec_id") % 3 == 0, "q").otherwise("i").alias("side"), F.slice("toks", 1, 4).alias("name"), F.slice("toks", 5, 12).alias("addr"))
     alpha = F.array_distinct(F.filter("addr", lambda x: x.rlike("^[a-z]{3,}$")))
     nums = F.filter("addr", lambda x: x.rlike("^[0-9]+$"))
     d = d.withColumn("n_core", F.array_join("name", " ")).withColumn("n_concat", F.array_join("name", "")).withColumn("a_full", F.array_join("addr", " "))
-    return d.withColumn("a_alpha", F.array_join(alpha, " ")).withColumn("a_nums", F.array_join(nums, " "))
+    return d.withColumn("a_alpha", F.array_join(alpha, " ")).withColumn("a_nums", F.array_join(nums, " ")).persist()
 
 
 def truth(recs: DataFrame) -> DataFrame:
