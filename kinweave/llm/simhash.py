@@ -186,7 +186,9 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 # --- near copies by similarity -------------------------------------------------------------------
 
-SHINGLE, SIMILARITY, WORDS, FIRST_RADIUS = 5, 0.8, 8, 20
+SHINGLE, SIMILARITY, WORDS, FIRST_RADIUS = 5, 0.8, 16, 20
+#: Standard error of the similarity that wide fingerprints show at 0.8; the radius gives way by so much.
+SLACK = 0.02
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -214,7 +216,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     node = F.xxhash64("wide")
     nodes = C.stored(prints.groupBy("fp", "wide", node.alias("rep")).agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
     C.small_batches(spark, 1)
-    found = C.connected_components(links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity, 64 * WORDS)), "near-copies")
+    found = C.connected_components(links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity - SLACK, 64 * WORDS)), "near-copies")
     classes = nodes.join(found, nodes.rep == found.node, "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("low").alias("low"))
     kept = C.stored(classes.select("low.did", "low.seq").distinct(), "kept")
 
