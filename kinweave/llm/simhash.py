@@ -180,6 +180,7 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     prints = C.stored(prints, "fingerprints")
     reps = C.stored(prints.groupBy("fp").agg(F.min("did").alias("rep")), "representatives")
     found = C.connected_components(links(reps, radius), "simhash")
+    C.small_batches(prints.sparkSession)
     classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return prints.join(classes, "fp").select("did", "fp", "component")
 
