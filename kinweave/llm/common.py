@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 #: Stands for a null document id inside the operators; sorts after every id.
 NULL_ID = 2**63 - 1
 #: Rows per Arrow batch: whole texts travel in it, so the batch stays small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinweave-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    zstd takes less disk, but its native buffers add to an executor's memory outside the heap.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

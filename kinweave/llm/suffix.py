@@ -194,7 +194,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t for t, f in zip(texts, flags, strict=True) if not f]
             yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
 
-    hits = C.stored(rows.mapInArrow(candidates, C.fields("did long, text string", ("rest", rest), "seq long")), "byte-repeats")
+    hits = C.stored(rows.mapInArrow(candidates, C.fields("did long, text string", ("rest", rest), "seq long")), "byte-repeats", codec="zstd")
 
     def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
