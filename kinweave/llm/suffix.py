@@ -104,9 +104,15 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.
 
 
 def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, last, again): runs of string starts with one smallest hash; again: the hash stands at several places."""
+    """(key, first, last, again): runs of string starts with one smallest hash; again: the hash stands at several places of the text."""
     parts = [_runs(text[at : at + _SEGMENT + length - 1], length, at) for at in range(0, max(1, len(text) - length + 1), _SEGMENT)]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+    key, first, last, again, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(parts) > 1:
+        order = np.lexsort((place, key))
+        k, p = key[order], place[order]
+        apart = (k[1:] == k[:-1]) & (p[1:] != p[:-1])
+        again = np.isin(key, np.r_[key[again], k[1:][apart]])
+    return key, first, last, again
 
 
 def _runs(text: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
@@ -131,7 +137,11 @@ def _runs(text: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     small[(key & np.uint64(4095)).astype(np.int64)] = True
     seen = np.sort(h[small[(h & np.uint64(4095)).astype(np.int64)]])
     again = np.searchsorted(seen, key, "right") - np.searchsorted(seen, key, "left") > 1
-    return key, first + shift, np.r_[cut, len(low)] - 1 + shift, again
+    # only a run at a segment's border can go on in the next one: there the place of the hash tells; the others get numbers of their own
+    place = -1 - (first + shift)
+    for i in (0, -1):
+        place[i] = first[i] + np.argmin(h[first[i] : first[i] + want]) + shift
+    return key, first + shift, np.r_[cut, len(low)] - 1 + shift, again, place
 
 
 # --- the operator --------------------------------------------------------------------------------

@@ -61,6 +61,29 @@ def test_long_text_in_segments(spark, monkeypatch):
     assert got == brute(rows, 200)
 
 
+def test_repeat_in_two_segments_of_one_text(spark):
+    r = random.Random(7)
+    own = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage, size = own(200), suffix._SEGMENT
+    parts = [own(size // 2) + "1", passage, "2" + own(2 * size) + "3", passage, "4" + own(size // 2)]
+    kept = "".join(parts[::2]).encode()
+    got = [tuple(x) for x in suffix.digests(spark.createDataFrame([(1, "".join(parts))], "doc_id long, text string")).collect()]
+    assert got == [(1, len(kept) + 400, 400, 2, hashlib.sha256(kept).hexdigest())]
+
+
+def test_flags_over_segments(monkeypatch):
+    monkeypatch.setattr(suffix, "_SEGMENT", 300)
+    r = random.Random(9)
+    own = lambda n: bytes(r.choices(range(97, 123), k=n))
+    assert not suffix.runs(own(3000), 200)[3].any()  # runs cut by a border stand once
+    a, passage, b, c = own(310), own(200), own(700), own(1000)
+    for text, times in ((a + passage + b + passage + c, 2), (a + passage + b + passage + b"-" + passage + c, 3)):
+        key, first, last, again = suffix.runs(text, 200)
+        at = [i for i in range(len(text) - 199) if text[i : i + 200] == passage]
+        assert len(at) == times
+        assert all(again[(first <= i) & (i <= last)].all() for i in at)
+
+
 def test_longest_factors():
     r = np.random.default_rng(0)
     data = r.integers(97, 99, 300).astype(np.uint8)
