@@ -5,9 +5,10 @@ their counts differ by no more than the radius; inside, numpy exclusive-or and b
 fingerprints. A meeting emits a spanning forest of its links, not the links, so a group of thousands of copies
 costs one row a member. Components follow from large-star / small-star rounds.
 
-Near copies by similarity: wide fingerprints (``WORDS`` x 64 bits) of five-word shingles. SimHash distance measures
-an angle, and sets of Jaccard similarity s and like size have the cosine 2s / (1 + s); the radius is the distance
-that angle gives. Meetings filter on the first 64 bits and decide on all.
+Near copies by similarity: wide fingerprints (``WORDS`` x 64 bits) of distinct five-word shingles. SimHash distance
+measures an angle, and sets of Jaccard similarity s and like size have the cosine 2s / (1 + s); the radius is the
+distance that angle gives. Meetings filter on the first 64 bits, then on all. What they link are candidates: inside
+each group of them the exact Jaccard similarity of the shingle sets decides.
 
 Null text: no words, fingerprint zero, linked like any other. Null id: after every other id. Rows with one id and
 different fingerprints all stay; rows with one fingerprint share a component. Empty tables give empty results.
@@ -197,6 +198,64 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
+def verified_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of exact Jaccard similarity of ``similarity`` at least that join all such pairs: none inside what others joined.
+
+    Hashes in order of frequency, rare ones first: similar sets share one of their first, so only these are looked up.
+    """
+    size = [len(x) for x in sets]
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranks = [np.sort(x) for x in np.split(rank[at], np.cumsum(size)[:-1])]
+    places: dict[int, list[int]] = {}
+    group = [{i} for i in range(len(sets))]
+    out = []
+    for i, own in enumerate(ranks):
+        near: set[int] = set()
+        for k in own[: size[i] - int(np.ceil(similarity * size[i] - 1e-9)) + 1].tolist():
+            near.update(places.setdefault(k, []))
+            places[k].append(i)
+        while near:
+            j = near.pop()
+            if min(size[i], size[j]) < similarity * max(size[i], size[j]) - 1e-9:
+                continue
+            both = len(np.intersect1d(own, ranks[j], assume_unique=True))
+            if both / (size[i] + size[j] - both) >= similarity:
+                out.append((i, j))
+                small, large = sorted((group[i], group[j]), key=len)
+                large |= small
+                for m in small:
+                    group[m] = large
+                near -= large
+    return out
+
+
+def _verify(spark: SparkSession, members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of (component, rep, shingles) inside the components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> pa.RecordBatch:
+            pairs = np.array(verified_links(sets, similarity), np.int64).reshape(-1, 2)
+            rep = np.array(reps, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["a", "b"])
+
+        reps, sets, last = [], [], None
+        for b in batches:
+            for c, rep, x in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if c != last and sets:
+                    yield found()
+                    reps, sets = [], []
+                last = c
+                reps.append(rep)
+                sets.append(np.frombuffer(x, np.uint64))
+        if sets:
+            yield found()
+
+    dealt = members.repartition(C.partitions(spark), "component").sortWithinPartitions("component")
+    return dealt.select("component", "rep", "shingles").mapInArrow(run, "a long, b long")
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row, that of the smallest id, of each group linked by near copies; ties go to the smaller text hash."""
     spark = docs.sparkSession
@@ -205,19 +264,28 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide, seq = [], []
+            wide, seq, sets = [], [], []
             for t in C.texts_of(b, "text"):
-                wide.append(wide_fingerprint(shingle_hashes(t.lower().split(), shingle), WORDS))
+                sets.append(np.unique(shingle_hashes(t.lower().split(), shingle)))
+                wide.append(wide_fingerprint(sets[-1], WORDS))
                 seq.append(xxhash.xxh3_64_intdigest(t))
             first = np.array([w[0] for w in wide], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), C.signed(np.array(seq, np.uint64)), C.signed(first), pa.array([w.tobytes() for w in wide], pa.binary())], ["did", "seq", "fp", "wide"])
-
-    prints = C.stored(rows.select("did", "text").mapInArrow(run, "did long, seq long, fp long, wide binary"), "wide-prints")
-    # equal fingerprints are one node, named by a hash of the fingerprint
-    node = F.xxhash64("wide")
-    nodes = C.stored(prints.groupBy("fp", "wide", node.alias("rep")).agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
+            rep = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), C.signed(np.array(seq, np.uint64)), C.signed(first), C.signed(rep), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["did", "seq", "fp", "rep", "wide", "shingles"],
+            )
+
+    prints = C.stored(rows.select("did", "text").mapInArrow(run, "did long, seq long, fp long, rep long, wide binary, shingles binary"), "wide-prints")
+    # equal shingle sets are one node, named by a hash of the set
+    nodes = C.stored(prints.groupBy("fp", "wide", "rep").agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
     C.small_batches(spark, 1)
-    found = C.connected_components(links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity - SLACK, 64 * WORDS)), "near-copies")
+    close = links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity - SLACK, 64 * WORDS))
+    near = C.connected_components(close, "near-candidates")
+    near = near.select("node", "component").union(near.select("component", "component")).distinct().join(nodes.select(F.col("rep").alias("node"), "low.did", "low.seq"), "node")
+    members = near.join(prints.select("did", "seq", "shingles"), ["did", "seq"]).groupBy("component", F.col("node").alias("rep")).agg(F.first("shingles").alias("shingles"))
+    C.small_batches(spark)
+    found = C.connected_components(_verify(spark, members, similarity), "near-copies")
     classes = nodes.join(found, nodes.rep == found.node, "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("low").alias("low"))
     kept = C.stored(classes.select("low.did", "low.seq").distinct(), "kept")
 

@@ -123,3 +123,26 @@ def test_wide_distance_follows_similarity():
             x, y = (np.concatenate([both, r.integers(0, 2**63, own, dtype=np.uint64)]) for _ in range(2))
             far.append(np.bitwise_count(simhash.wide_fingerprint(common.mix64(x), 8) ^ simhash.wide_fingerprint(common.mix64(y), 8)).sum())
         assert abs(np.mean(far) - simhash.radius_of(similarity, 512)) < 6
+
+
+def test_a_repeated_line_makes_no_near_copies(spark):
+    line = " ".join(f"l{i}" for i in range(10))
+    rows = [(d, " ".join([line] * 100 + [f"own{d}w{i}" for i in range(200)])) for d in range(4)]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == [0, 1, 2, 3]
+
+
+def test_verified_links_match_all_pairs():
+    r = np.random.default_rng(4)
+    sets = []
+    for n in (1, 4, 5, 9, 10, 40, 100):
+        base = r.integers(0, 2**63, n, dtype=np.uint64)
+        for _ in range(12):
+            own = r.integers(0, 2**63, int(r.integers(0, n // 3 + 2)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[: n - int(r.integers(0, n // 6 + 1))], own])))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+    a, b = (np.array(x) for x in zip(*near, strict=True))
+    got = simhash.verified_links(sets, 0.8)
+    assert set(got) <= set(near)
+    c, d = (np.array(x) for x in zip(*got, strict=True))
+    assert np.array_equal(simhash._labels(len(sets), a, b), simhash._labels(len(sets), c, d))
