@@ -188,9 +188,11 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 # --- near copies by similarity -------------------------------------------------------------------
 
-SHINGLE, SIMILARITY, WORDS, FIRST_RADIUS = 5, 0.8, 16, 20
-#: Standard error of the similarity that wide fingerprints show at 0.8; the radius gives way by so much.
-SLACK = 0.02
+SHINGLE, SIMILARITY, WORDS = 5, 0.8, 16
+#: Candidates reach so many standard deviations beyond the expected distance, on the first 64 bits and on all.
+FIRST_SPREAD, SPREAD = 5, 6
+#: Where the smaller set has fewer shingles, ties spoil the distance; shared shingles make the candidates.
+FEW = 32
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -198,6 +200,32 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
+def reach_of(similarity: float, bits: int, spread: float) -> int:
+    far = radius_of(similarity, bits)
+    return int(far + spread * np.sqrt(far * (1 - far / bits)))
+
+
+def _head(n: int, similarity: float) -> int:
+    """Two sets of this similarity share one of so many first hashes of either, in any one order of all hashes."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _few_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates among sets of which one may have under ``FEW`` shingles; each meets the smallest that shares a first hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            heads = [x[: _head(len(x), similarity)] for x in sets]
+            rep = np.repeat(b.column(0).to_numpy(), [len(x) for x in heads])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), C.signed(np.concatenate([np.zeros(0, np.uint64), *heads]))], ["rep", "hash"])
+
+    few = prints.where(F.length("shingles") < int(np.ceil(8 * FEW / similarity)) + 8).select("rep", "shingles")
+    found = few.mapInArrow(run, "rep long, hash long").distinct()
+    low = found.groupBy("hash").agg(F.min("rep").alias("b"))
+    return found.join(low, "hash").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def verified_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Pairs of exact Jaccard similarity of ``similarity`` at least that join all such pairs: none inside what others joined.
 
@@ -213,7 +241,7 @@ def verified_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     out = []
     for i, own in enumerate(ranks):
         near: set[int] = set()
-        for k in own[: size[i] - int(np.ceil(similarity * size[i] - 1e-9)) + 1].tolist():
+        for k in own[: _head(size[i], similarity)].tolist():
             near.update(places.setdefault(k, []))
             places[k].append(i)
         while near:
@@ -280,8 +308,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # equal shingle sets are one node, named by a hash of the set
     nodes = C.stored(prints.groupBy("fp", "wide", "rep").agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
     C.small_batches(spark, 1)
-    close = links(nodes.select("fp", "rep", "wide"), FIRST_RADIUS, radius_of(similarity - SLACK, 64 * WORDS))
-    near = C.connected_components(close, "near-candidates")
+    close = links(nodes.select("fp", "rep", "wide"), reach_of(similarity, 64, FIRST_SPREAD), reach_of(similarity, 64 * WORDS, SPREAD))
+    near = C.connected_components(close.union(_few_links(prints, similarity)), "near-candidates")
     near = near.select("node", "component").union(near.select("component", "component")).distinct().join(nodes.select(F.col("rep").alias("node"), "low.did", "low.seq"), "node")
     members = near.join(prints.select("did", "seq", "shingles"), ["did", "seq"]).groupBy("component", F.col("node").alias("rep")).agg(F.first("shingles").alias("shingles"))
     C.small_batches(spark)

@@ -146,3 +146,16 @@ def test_verified_links_match_all_pairs():
     assert set(got) <= set(near)
     c, d = (np.array(x) for x in zip(*got, strict=True))
     assert np.array_equal(simhash._labels(len(sets), a, b), simhash._labels(len(sets), c, d))
+
+
+def test_copies_just_similar_enough(spark):
+    pairs = []
+    for p in range(40):
+        both = [f"b{p}w{i}" for i in range(404)]
+        pairs.append([" ".join(both + [f"{side}{p}w{i}" for i in range(50)]) for side in "xy"])
+    for p in range(20):
+        both = [f"s{p}w{i}" for i in range(8 + p)]  # one word more or less: 0.8 at 8 words
+        pairs.append([" ".join(both), " ".join([*both, "more"])])
+    rows = [(2 * p + k, t) for p, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, len(rows), 2))
