@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import fields
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .operators import diagnostics as E
 from .plans import learn as L
 from .plans import pipeline as P
 from .sources import tsv
-from .sources.stages import save_report, stage
+from .sources.stages import fingerprint, save_report, stage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,9 +26,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--work", default="work")
     p.add_argument("--out", default="output")
     p.add_argument("--pred", help="id list to score")
+    p.add_argument("--vectors", help="Parquet of (ckey, rec_id, side, vec) for nearest neighbours in training")
+    p.add_argument("--test-vectors", help="the same for the records to predict")
+    p.add_argument("--force", action="store_true", help="make all stages anew")
     for f in fields(Config):
-        if isinstance(f.default, (int, float, str)) and not isinstance(f.default, bool):
-            p.add_argument(f"--{f.name.replace('_', '-')}", type=type(f.default), default=f.default)
+        flag = f"--{f.name.replace('_', '-')}"
+        if isinstance(f.default, bool):
+            p.add_argument(flag, action=argparse.BooleanOptionalAction, default=f.default)
+        elif isinstance(f.default, tuple):
+            kind = int if f.default else str
+            p.add_argument(flag, type=lambda s, kind=kind: tuple(kind(x.strip()) for x in s.split(",") if x.strip()), default=f.default)
+        else:
+            p.add_argument(flag, type=type(f.default), default=f.default)
     return p
 
 
@@ -39,12 +49,15 @@ def main(argv: list[str] | None = None) -> int:
     s1, index = read(a.data)
     truth = tsv.explode_truth(tsv.read_id_map(spark, f"{a.data}/ground_truth.tsv")) if a.command != "predict" else None
     base = f"{a.work}/train"
+    vectors, test_vectors = (spark.read.parquet(v) if v else None for v in (a.vectors, a.test_vectors))
     if a.command in ("prepare", "block", "features", "blocking-report"):
-        recs = stage(spark, base, cfg, "records", lambda: P.prepare(s1, index))
+        inputs = fingerprint(s1, index, truth, *([] if vectors is None else [vectors]))
+        keep = partial(stage, spark, base, cfg, force=a.force, inputs=inputs)
+        recs = keep("records", lambda: P.prepare(s1, index))
         if a.command != "prepare":
-            pairs = stage(spark, base, cfg, "pairs", lambda: P.candidates(recs, cfg))
+            pairs = keep("pairs", lambda: P.candidates(recs, cfg, vectors))
             if a.command == "features":
-                stage(spark, base, cfg, "features", lambda: P.labelled(P.features(pairs, recs, cfg), truth))
+                keep("features", lambda: P.labelled(P.features(pairs, recs, cfg), truth))
             if a.command == "blocking-report":
                 P.blocking_report(recs, pairs, truth).show(100, False)
         return 0
@@ -56,12 +69,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "predict":
         model = L.load_run(spark, f"{a.work}/models")
     else:
-        model = P.train(spark, base, s1, index, truth, cfg)
+        model = P.train(spark, base, s1, index, truth, cfg, vectors, a.force)
         L.save_run(spark, model, f"{a.work}/models")
         save_report(spark, f"{a.out}/report", {"holdout_f05": model["holdout_f05"], "decision": model["decision"]})
     if a.command in ("all", "predict"):
         t1, ti = read(a.test or a.data)
-        matches, cands = P.predict(spark, f"{a.work}/test", t1, ti, model, cfg)
+        matches, cands = P.predict(spark, f"{a.work}/test", t1, ti, model, cfg, test_vectors, a.force)
         tsv.write_id_lists(matches, f"{a.out}/matching", "source1_entity_id\tmatched_entity_ids")
         tsv.write_id_lists(cands, f"{a.out}/candidates", "source1_entity_id\tcandidate_entity_ids")
     return 0

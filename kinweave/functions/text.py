@@ -124,9 +124,10 @@ def skeleton(t: Column) -> Column:
     x = t
     for a, b in V.DIGRAPHS:
         x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.concat(F.substring(x, 1, 1), F.replace(F.substring(x, 2, 1000), F.lit("h"), F.lit("")))
+    tail = lambda c: F.substr(c, F.lit(2))
+    x = F.concat(F.substring(x, 1, 1), F.replace(tail(x), F.lit("h"), F.lit("")))
     x = F.translate(x, V.SKELETON_FROM, V.SKELETON_TO)
-    x = F.concat(F.substring(x, 1, 1), F.regexp_replace(F.substring(x, 2, 1000), "[aeiou]", ""))
+    x = F.concat(F.substring(x, 1, 1), F.regexp_replace(tail(x), "[aeiou]", ""))
     return F.when(t.rlike("^[0-9]*$"), t).otherwise(F.regexp_replace(x, r"(.)\1+", "$1"))
 
 

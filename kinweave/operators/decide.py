@@ -70,14 +70,15 @@ def tune(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds: li
     thresholds = THRESHOLDS if thresholds is None else thresholds
     grid = [(t, g, m) for t in TAUS for g in GAMMAS for m in MISSES] if grid is None else grid
     y = one_owner(pairs.select("q_id", "i_id", "p")).join(truth.select("q_id", "i_id", F.lit(1).alias("y")), ["q_id", "i_id"], "left")
-    # ascending (-p, i_id) is descending p; ids break ties
-    lists = y.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("np"), "i_id", F.coalesce("y", F.lit(0)).alias("y")))).alias("c"))
+    ranked = W.partitionBy("q_id").orderBy(F.col("p").desc(), "i_id")
+    upto = ranked.rowsBetween(W.unboundedPreceding, 0)
+    y = y.withColumn("y", F.coalesce("y", F.lit(0))).withColumn("k", F.row_number().over(ranked))
+    y = y.withColumn("cum", F.sum("p").over(upto)).withColumn("tp", F.sum("y").over(upto).cast("int"))
+    lists = y.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("k", "p", "cum", "tp"))).alias("c"))
     g = truth.groupBy("q_id").agg(F.count("*").alias("G"))
     x = entities.select("q_id").join(g, "q_id", "left").join(lists, "q_id", "left").fillna(0, ["G"])
     x = x.withColumn("c", F.coalesce("c", F.array().cast(lists.schema["c"].dataType)))
-    ps, ys = F.transform("c", lambda t: -t["np"]), F.transform("c", lambda t: t["y"])
-    running = lambda a, zero: F.slice(F.aggregate(a, F.array(zero), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))), 2, 1_000_000)
-    x = x.select("q_id", "G", ps.alias("ps"), running(ps, F.lit(0.0)).alias("cum"), running(ys, F.lit(0)).alias("tp"))
+    x = x.select("q_id", "G", F.col("c.p").alias("ps"), F.col("c.cum").alias("cum"), F.col("c.tp").alias("tp"))
     settings = [("threshold", t, None, None) for t in thresholds] + [("expected_f", *s) for s in grid]
     table = pairs.sparkSession.createDataFrame(settings, "kind string, tau double, gamma double, miss double")
     x = x.crossJoin(F.broadcast(table))  # a fixed number of settings

@@ -14,10 +14,10 @@ from ..functions.text import country_key, first_number, is_non_latin, retrieval_
 from ..operators import blocking as B
 from ..operators import decide as D
 from ..operators import features as X
-from ..operators.diagnostics import hard_negatives
+from ..operators.diagnostics import hard_negatives, top_rows
 from ..operators.retrieval import bm25_topk, knn_topk
 from ..operators.validate import id_lists
-from ..sources.stages import stage
+from ..sources.stages import fingerprint, stage
 from . import learn as L
 
 FEATURES = [*X.NAME_SCORES, *X.ADDRESS_SCORES, "n_alias_best", "n_cos_char", "n_cos_word", "a_cos_word", "n_jacc", "n_first_eq", "n_len_q", "n_len_i", "n_ntok_diff", "i_translit", "i_domain", "i_alias", "a_empty_i", "a_num_jacc", "a_num_conflict", "a_first_num_eq", "a_qnum_in_i", "a_state_eq", "a_len_i", "a_ncomp_i", "i_addr_translit", "src_s3", "bscore", "brank", "b_ntypes", *X.BITS, "dense_cos", "q_name_df_s1", "i_name_df_idx", "i_name_df_s1"]
@@ -45,10 +45,16 @@ def candidates(recs: DataFrame, cfg: Config, vectors: DataFrame | None = None) -
     extras.append((B.keep_empty_deeper(ranked.join(blank, ["ckey", "i_id"]), "rk", F.col("_blank"), cfg.bm25_k, cfg.bm25_k_empty), B.BM25))
     if vectors is not None and cfg.dense:
         vq, vi = (vectors.where(F.col("side") == s).select("ckey", F.col("rec_id").alias(f"{s}_id"), "vec") for s in "qi")
-        near = knn_topk(vq, vi, max(cfg.k_dense, cfg.k_dense_script))
+        near = knn_topk(vq, vi, max(cfg.k_dense, cfg.k_dense_script, cfg.k_dense_empty if cfg.dense_adaptive else 0))
         native = lambda side: recs.where(F.col("side") == side).select("ckey", F.col("rec_id").alias(f"{side}_id"), is_non_latin(F.coalesce("business_name", F.lit(""))).alias(f"_{side}n"))
         near = near.join(native("q"), ["ckey", "q_id"]).join(native("i"), ["ckey", "i_id"])
-        extras.append((B.keep_script_deeper(near, "rk", F.col("_qn"), F.col("_in"), cfg.k_dense, cfg.k_dense_script), B.DENSE))
+        if cfg.dense_adaptive:
+            bare = lambda side: toks.where(F.col("side") == side).select("ckey", F.col("rec_id").alias(f"{side}_id"), B.is_blank(F.col("business_address")).alias(f"_{side}e"))
+            near = near.join(bare("q"), ["ckey", "q_id"]).join(bare("i"), ["ckey", "i_id"])
+            near = B.keep_adaptive(near, "rk", F.col("_qn"), F.col("_in"), F.col("_qe"), F.col("_ie"), cfg)
+        else:
+            near = B.keep_script_deeper(near, "rk", F.col("_qn"), F.col("_in"), cfg.k_dense, cfg.k_dense_script)
+        extras.append((near, B.DENSE))
     return B.merge_candidates(B.key_candidates(recs, cfg), extras, cfg.k_key)
 
 
@@ -61,20 +67,30 @@ def labelled(x: DataFrame, truth: DataFrame) -> DataFrame:
     return y.withColumn("fold", L.fold_of("q_id"))
 
 
-def train(spark: SparkSession, base: str, s1: DataFrame, index: DataFrame, truth: DataFrame, cfg: Config) -> dict:
-    """Models of both stages, calibration and the best decision; stages are kept under ``base``."""
-    keep = lambda name, make: stage(spark, base, cfg, name, make)
+def of_training_countries(x: DataFrame, cfg: Config) -> DataFrame:
+    """Rows of the partitions that models may learn from: all, or those of ``cfg.train_countries``."""
+    return x.where(F.col("ckey").isin([c.strip().lower() for c in cfg.train_countries])) if cfg.train_countries else x
+
+
+def train(spark: SparkSession, base: str, s1: DataFrame, index: DataFrame, truth: DataFrame, cfg: Config, vectors: DataFrame | None = None, force: bool = False) -> dict:
+    """Models of both stages, calibration and the best decision; stages are kept under ``base``.
+
+    Models and calibration learn from the training countries only; the decision is tuned on all.
+    """
+    inputs = fingerprint(s1, index, truth, *([] if vectors is None else [vectors]))
+    keep = lambda name, make: stage(spark, base, cfg, name, make, force, inputs)
     recs = keep("records", lambda: prepare(s1, index))
-    pairs = keep("pairs", lambda: candidates(recs, cfg))
+    pairs = keep("pairs", lambda: candidates(recs, cfg, vectors))
     x = keep("features", lambda: labelled(features(pairs, recs, cfg), truth))
-    rows = x if x.count() <= cfg.max_train_rows else hard_negatives(x, cfg.max_train_rows)
+    rows = of_training_countries(x, cfg)
+    rows = rows if rows.count() <= cfg.max_train_rows else hard_negatives(rows, cfg.max_train_rows, seed=cfg.seed)
     one = L.train_folds(L.assembled(rows, FEATURES + CONTEXT), "y", cfg.stage1_folds, cfg)
     scored = keep("stage1", lambda: L.predict_folds(L.assembled(x, FEATURES + CONTEXT), one, "p1").drop("_x"))
     two = keep("features2", lambda: X.stage2_features(scored.drop("q_ncand", "i_ncand_s1"), recs))
     cols = [*X.STAGE2_OWN, *X.STAGE2_CORE]
-    second = L.train_folds(L.assembled(two, cols), "y", cfg.stage2_folds, cfg)
+    second = L.train_folds(L.assembled(of_training_countries(two, cfg), cols), "y", cfg.stage2_folds, cfg)
     p2 = keep("stage2", lambda: L.predict_folds(L.assembled(two, cols), second, "p2").drop("_x"))
-    iso = L.calibrate(p2.where(F.col("fold").isin(list(cfg.stage2_folds))), "p2", "y")
+    iso = L.calibrate(of_training_countries(p2, cfg).where(F.col("fold").isin(list(cfg.stage2_folds))), "p2", "y")
     final = decided_scores(L.apply_calibration(p2, iso, "p2", "p"), recs, cfg)
     own = final.where(F.col("fold").isin(list(cfg.stage2_folds)))
     entities = recs.where("side = 'q'").select(F.col("rec_id").alias("q_id"), F.col("country")).withColumn("fold", L.fold_of("q_id"))
@@ -92,14 +108,15 @@ def decided_scores(x: DataFrame, recs: DataFrame, cfg: Config) -> DataFrame:
     return out.withColumn("p", D.adjust_house_number(F.col("p"), F.col("_qnum"), F.col("_inum"), cfg.housenum_boost, cfg.housenum_pen)).drop("_qnum", "_inum")
 
 
-def predict(spark: SparkSession, base: str, s1: DataFrame, index: DataFrame, model: dict, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """(matches, candidates) as id lists, a row for each query record."""
+def predict(spark: SparkSession, base: str, s1: DataFrame, index: DataFrame, model: dict, cfg: Config, vectors: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(matches, candidates) as id lists, a row for each query record; ``row_no`` is that of ``s1``, the place in its file."""
     from ..config import enforce_contract
 
     enforce_contract(Config.from_json(model["config"]), cfg)
-    keep = lambda name, make: stage(spark, base, cfg, name, make)
+    inputs = fingerprint(s1, index, *([] if vectors is None else [vectors]))
+    keep = lambda name, make: stage(spark, base, cfg, name, make, force, inputs)
     recs = keep("records", lambda: prepare(s1, index))
-    pairs = keep("pairs", lambda: candidates(recs, cfg))
+    pairs = keep("pairs", lambda: candidates(recs, cfg, vectors))
     x = keep("features", lambda: features(pairs, recs, cfg).withColumn("fold", F.lit(-1)))
     scored = keep("stage1", lambda: L.predict_folds(L.assembled(x, FEATURES + CONTEXT), model["stage1"], "p1").drop("_x"))
     two = X.stage2_features(scored.drop("q_ncand", "i_ncand_s1"), recs)
@@ -107,7 +124,7 @@ def predict(spark: SparkSession, base: str, s1: DataFrame, index: DataFrame, mod
     final = keep("scores", lambda: decided_scores(L.apply_calibration(p2, model["calibration"], "p2", "p"), recs, cfg).select("ckey", "q_id", "i_id", "p"))
     how = model["decision"]
     chosen = D.apply_decision(final, how["kind"], how["tau"], how["gamma"] or 0.0, how["miss"] or 0.0)
-    entities = s1.select(F.col("entity_id").alias("q_id"), F.monotonically_increasing_id().alias("row_no"))
+    entities = s1.select(F.col("entity_id").alias("q_id"), F.col("row_no") if "row_no" in s1.columns else F.monotonically_increasing_id().alias("row_no"))
     return id_lists(entities, chosen, "p"), id_lists(entities, final, "p")
 
 
@@ -117,8 +134,8 @@ def blend(p: F.Column, other: F.Column, weight: float) -> F.Column:
 
 
 def shortlist(scored: DataFrame, least: float = 0.02, limit: int = 4_000_000) -> DataFrame:
-    """Pairs worth a costly second scorer: one owner each, the most likely first."""
-    return D.one_owner(scored).where(F.col("p") >= least).orderBy(F.desc("p"), "q_id", "i_id").limit(limit)
+    """Pairs worth a costly second scorer: one owner each, the most likely ones."""
+    return top_rows(D.one_owner(scored).where(F.col("p") >= least), limit, F.col("p"), ["q_id", "i_id"])
 
 
 def blocking_report(recs: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:

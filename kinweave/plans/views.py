@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import blocking as B
 
-CFG = Config(k_key=10)
+CFG = Config()
 FAMILIES = (B.NT, B.NP, B.NC)
 
 
@@ -17,17 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as records: the first four tokens are the name, the next twelve the address; every third one asks.
-
-    Prepared records are a stage that a plan reads many times, so they are kept (spilling to disk) once made.
-    """
+    """documents as records: the first four tokens are the name, all others the address; every third one asks."""
     toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("lang").alias("ckey"), F.md5("text").alias("h"), toks.alias("toks"))
-    d = d.select("rec_id", "ckey", "h", (1 + F.col("rec_id") % 3).alias("src"), F.when(F.col("rec_id") % 3 == 0, "q").otherwise("i").alias("side"), F.slice("toks", 1, 4).alias("name"), F.slice("toks", 5, 12).alias("addr"))
+    d = d.select("rec_id", "ckey", "h", (1 + F.col("rec_id") % 3).alias("src"), F.when(F.col("rec_id") % 3 == 0, "q").otherwise("i").alias("side"), F.slice("toks", 1, 4).alias("name"), F.slice("toks", F.lit(5), F.greatest(F.size("toks") - 4, F.lit(0))).alias("addr"))
     alpha = F.array_distinct(F.filter("addr", lambda x: x.rlike("^[a-z]{3,}$")))
     nums = F.filter("addr", lambda x: x.rlike("^[0-9]+$"))
     d = d.withColumn("n_core", F.array_join("name", " ")).withColumn("n_concat", F.array_join("name", "")).withColumn("a_full", F.array_join("addr", " "))
-    return d.withColumn("a_alpha", F.array_join(alpha, " ")).withColumn("a_nums", F.array_join(nums, " ")).persist()
+    return d.withColumn("a_alpha", F.array_join(alpha, " ")).withColumn("a_nums", F.array_join(nums, " "))
 
 
 def truth(recs: DataFrame) -> DataFrame:
@@ -47,7 +44,7 @@ def scored(recs: DataFrame) -> DataFrame:
 
 REC = """
 tk AS (SELECT doc_id, lang AS ckey, md5(text) AS h, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
-rec AS (SELECT doc_id AS rec_id, ckey, h, 1 + doc_id % 3 AS src, CASE WHEN doc_id % 3 = 0 THEN 'q' ELSE 'i' END AS side, toks[1:4] AS name, toks[5:16] AS addr FROM tk),
+rec AS (SELECT doc_id AS rec_id, ckey, h, 1 + doc_id % 3 AS src, CASE WHEN doc_id % 3 = 0 THEN 'q' ELSE 'i' END AS side, toks[1:4] AS name, toks[5:] AS addr FROM tk),
 ntok AS (SELECT DISTINCT ckey, side, rec_id, unnest(name) AS tok FROM rec),
 atok AS (SELECT DISTINCT ckey, side, rec_id, tok FROM (SELECT ckey, side, rec_id, unnest(addr) AS tok FROM rec) WHERE regexp_full_match(tok, '[a-z]{3,}')),
 utok AS (SELECT DISTINCT ckey, side, rec_id, unnest(list_filter(addr, lambda x: regexp_full_match(x, '[0-9]+'))[1:2]) AS tok FROM rec)"""

@@ -1,7 +1,8 @@
-"""Persisted stages: Parquet under a folder named by the configuration, so results of other knobs are never taken up."""
+"""Persisted stages: Parquet under a folder named by the configuration and the inputs, so results of other knobs or other data are never taken up."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -10,17 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import Config
 
 
-def stage(spark: SparkSession, base: str, cfg: Config, name: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The stage's rows, made and written unless they are there already."""
-    path = f"{base}/{cfg.key()}/{name}"
+def fingerprint(*inputs: DataFrame) -> str:
+    """Names what the inputs hold: paths, sizes and times of the files they read, the plan of inputs without files."""
+    said = []
+    for df in inputs:
+        context = df.sparkSession.sparkContext
+        for f in sorted(df.inputFiles()):
+            path = context._jvm.org.apache.hadoop.fs.Path(f)
+            status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
+            said.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+        if not df.inputFiles():
+            said.append(str(df.semanticHash()))
+        said.append(",".join(df.columns))
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:12]
+
+
+def stage(spark: SparkSession, base: str, cfg: Config, name: str, make: Callable[[], DataFrame], force: bool = False, inputs: str = "") -> DataFrame:
+    """The stage's rows, made and written unless they are there already or ``force`` is set. ``inputs``: their fingerprint."""
+    path = f"{_folder(base, cfg, inputs)}/{name}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if force or not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def drop_stage(spark: SparkSession, base: str, cfg: Config, name: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{cfg.key()}/{name}")
+def _folder(base: str, cfg: Config, inputs: str) -> str:
+    return f"{base}/{cfg.key()}{'-' + inputs if inputs else ''}"
+
+
+def drop_stage(spark: SparkSession, base: str, cfg: Config, name: str, inputs: str = "") -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_folder(base, cfg, inputs)}/{name}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -93,11 +93,11 @@ def resolve_truth(truth: DataFrame, q: DataFrame, idx: DataFrame) -> tuple[DataF
     return known, truth.join(known, ["q_id", "i_id"], "left_anti")
 
 
-def write_id_lists(lists: DataFrame, path: str, header: str, order: str = "row_no") -> None:
-    """One text file in order of ``order``, header first."""
+def write_id_lists(lists: DataFrame, path: str, header: str, order: str = "row_no", files: int = 1) -> None:
+    """Text in order of ``order``, header first, cut into so many files, each written by one task; read by name they are one list."""
     head = lists.sparkSession.createDataFrame([(-1, header)], "o long, value string")
     body = lists.select(F.col(order).cast("long").alias("o"), F.concat_ws("\t", "source1_entity_id", "ids").alias("value"))
-    head.unionByName(body).repartition(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    head.unionByName(body).repartitionByRange(files, "o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:

@@ -102,3 +102,11 @@ def test_tags(spark):
     assert {"address_UPPERCASED", "number_fully_changed"} <= got[2]
     names = spark.createDataFrame([("Acme Tools", "Zed Works")], "a string, b string").select(name_tags(a, b, a, b)).first()[0]
     assert {"name_zero_token_overlap", "name_RANDOM_replacement"} <= set(names)
+
+
+def test_skeleton_of_a_very_long_token(spark):
+    from kinweave.functions import text
+
+    long = "b" + "aeiou" * 600 + "ktr"
+    got = spark.createDataFrame([(long,), ("",), (None,)], "t string").select(text.skeleton(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == ["bktr", "", None]

@@ -144,3 +144,58 @@ def test_subsample_keeps_clusters(spark):
     assert 10 < len(kept) < 40
     assert {r.i_id for r in t.collect()} == {x for k in kept for x in (100 + k, 160 + k)} <= ids
     assert not any(100 + k in ids for k in set(range(60)) - kept)
+
+
+def test_top_rows_matches_sorting(spark):
+    rows = [(i, (i * 7919) % 101 / 7 if i % 13 else None, i % 5) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, s double, g int")
+    order = sorted(rows, key=lambda r: (float("inf") if r[1] is None else -r[1], r[0]))
+    for n in (0, 1, 17, 2500, 4999, 5000, 9000):
+        got = sorted(r.id for r in E.top_rows(df, n, F.col("s"), ["id"]).collect())
+        assert got == sorted(r[0] for r in order[:n])
+    assert E.top_rows(df.limit(0), 3, F.col("s"), ["id"]).count() == 0
+
+
+def test_hard_negatives_and_samples(spark):
+    rows = [(q, i, float(q * i % 17), None, i, int(i % 4 == 0)) for q in range(30) for i in range(20)]
+    df = spark.createDataFrame(rows, "q_id long, i_id long, bscore double, dcos double, brank int, y int")
+    pos = {(r[0], r[1]) for r in rows if r[5]}
+    got = {(r.q_id, r.i_id) for r in E.hard_negatives(df, 200).collect()}
+    rest = sorted(((r[0], r[1]) for r in rows if not r[5]), key=lambda k: (-round(k[0] * k[1] % 17 - 0.01 * k[1], 9), *k))
+    assert got == pos | set(rest[: 200 - len(pos)])
+    few = {(r.q_id, r.i_id) for r in E.hard_negatives(df, 40).collect()}
+    assert len(few) == 40 and few < pos and {q for q, _ in few} != set(range(10))
+    heavy = df.withColumn("w", F.when(F.col("q_id") < 5, 100.0).otherwise(0.1))
+    drawn = E.weighted_sample(heavy, "w", 80, ["q_id", "i_id"]).collect()
+    assert len(drawn) == 80 and sum(r.q_id < 5 for r in drawn) > 60
+    some = E.group_sample(df, "q_id", 130).groupBy("q_id").count().collect()
+    assert len(some) == 7 and all(r["count"] == 20 for r in some)
+    assert E.group_sample(df, "q_id", 600).count() == 600
+
+
+def test_files_keep_their_order(spark, tmp_path):
+    lists = spark.createDataFrame([(f"S1-{i}", str(i), (i * 37) % 101) for i in range(101)], "source1_entity_id string, ids string, row_no long")
+    for files in (1, 3):
+        tsv.write_id_lists(lists, f"{tmp_path}/{files}", "head\tids", files=files)
+        lines = [x for f in sorted((tmp_path / str(files)).glob("part-*")) for x in f.read_text().splitlines()]
+        assert lines == ["head\tids", *[f"S1-{r.source1_entity_id[3:]}\t{r.ids}" for r in lists.orderBy("row_no").collect()]]
+
+
+def test_stages_follow_their_inputs(spark, tmp_path):
+    from kinweave.sources.stages import drop_stage, fingerprint, stage
+
+    cfg = Config()
+
+    def made(data, force=False):
+        df = spark.read.parquet(data)
+        return stage(spark, f"{tmp_path}/work", cfg, "x", lambda: df, force, fingerprint(df)).count()
+
+    spark.range(5).write.parquet(f"{tmp_path}/a")
+    spark.range(9).write.parquet(f"{tmp_path}/b")
+    assert (made(f"{tmp_path}/a"), made(f"{tmp_path}/b"), made(f"{tmp_path}/a")) == (5, 9, 5)
+    spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/a")
+    assert made(f"{tmp_path}/a") == made(f"{tmp_path}/a", force=True) == 7
+    inputs = fingerprint(spark.read.parquet(f"{tmp_path}/a"))
+    assert any(inputs in str(x) for x in (tmp_path / "work").iterdir())
+    drop_stage(spark, f"{tmp_path}/work", cfg, "x", inputs)
+    assert not list((tmp_path / "work").glob(f"*{inputs}/x"))

@@ -2,6 +2,7 @@ import glob
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.config import Config
 from kinweave.plans import learn as L
@@ -44,10 +45,33 @@ def test_train_and_predict_on_generated_records(spark, tmp_path):
     got, all_of = {r.source1_entity_id: r.ids for r in matches.collect()}, {r.source1_entity_id: set(r.ids.split(",")) for r in cands.collect()}
     assert len(got) == 120 and set(got) == set(all_of)
     assert all(set(ids.split(",")) <= all_of[q] for q, ids in got.items() if ids)
+    shuffled = s1.withColumn("row_no", (F.col("entity_id").substr(4, 9).cast("long") * 37) % 1009)
+    in_order = P.predict(spark, f"{tmp_path}/shuffled", shuffled, index, model, cfg)[0]
+    assert {r.source1_entity_id: r.row_no for r in in_order.collect()} == {r.entity_id: r.row_no for r in shuffled.collect()}
     with pytest.raises(ValueError, match="k_key"):
         P.predict(spark, f"{tmp_path}/other", s1, index, model, Config(k_key=11))
 
 
+def test_models_learn_from_training_countries_only(spark):
+    x = spark.createDataFrame([("us", 1), ("india", 2), ("", 3)], "ckey string, q_id long")
+    assert P.of_training_countries(x, Config()).count() == 3
+    assert [r.q_id for r in P.of_training_countries(x, Config(train_countries=("India ",))).collect()] == [2]
+
+
+def test_adaptive_depth_of_neighbours(spark, monkeypatch):
+    s1 = spark.createDataFrame([("S1-1", "acme tools", "oak road", "us", 0), ("S1-2", "zed", "", "us", 1)], "entity_id string, business_name string, business_address string, country string, row_no long")
+    index = spark.createDataFrame([(f"S2-{i}", f"shop {i}", "elm road" if i % 4 else "", "us", 2) for i in range(20)], "entity_id string, business_name string, business_address string, country string, src int")
+    recs = P.prepare(s1, index)
+    vectors = recs.select("ckey", "rec_id", "side", F.array(F.lit(1.0), F.crc32("rec_id") / 1e9).alias("vec"))
+    monkeypatch.setattr(P, "bm25_topk", lambda q, i, k, cfg: q.join(i, "ckey").select("ckey", "q_id", "i_id", F.lit(1.0).alias("score"), F.lit(99).alias("rk")).limit(0))
+    monkeypatch.setattr(P.B, "key_candidates", lambda recs, cfg: spark.createDataFrame([], "ckey string, q_id string, i_id string, bscore double, bits int, brank int"))
+    for adaptive, want in ((False, {"S1-1": 9, "S1-2": 9}), (True, {"S1-1": 2, "S1-2": 12})):
+        cfg = Config(k_dense=9, k_dense_script=9, k_dense_easy=2, k_dense_empty=12, dense_adaptive=adaptive)
+        got = {r.q_id: r["count"] for r in P.candidates(recs, cfg, vectors).groupBy("q_id").count().collect()}
+        assert got["S1-2"] == want["S1-2"] and want["S1-1"] <= got["S1-1"] <= want["S1-1"] + 5
+        assert adaptive or got == want
+
+
 def test_stream_of_index_records(spark, tmp_path):
     q = spark.createDataFrame([("us", 1, "acme blue tools"), ("us", 2, "zed works")], "ckey string, q_id long, n_core string")
     keys = name_pair_keys(q, "q_id", "n_core").selectExpr("ckey", "key", "q_id", "1.0D AS w")
