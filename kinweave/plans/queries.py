@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, text
-from ..functions.addresses import normalize_addresses
+from ..functions import fixed_values, text
 from ..functions.similarity import scores
 from ..operators import blocking as B
 from ..operators import decide as D
@@ -17,24 +13,7 @@ from ..operators import features as X
 from ..operators import retrieval as R
 from ..operators import validate as V
 from . import views as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c: str, name: str | None = None):
-    return F.round(F.col(c), 6).alias(name or c)
-
+from .registry import ORACLE, QUERIES, crc_sql, query, r6
 
 # --- tokens and keys -----------------------------------------------------------------------------
 
@@ -84,7 +63,24 @@ def _phonetic(recs):
     return recs.withColumn("n_skel", skel("n_core")).withColumn("a_skel", skel("a_alpha")).withColumn("n_phon", nysiis_words("n_core"))
 
 
-@query()
+def _skeleton_sql(t: str) -> str:
+    x = t
+    for a, b in fixed_values.DIGRAPHS:
+        x = f"replace({x}, '{a}', '{b}')"
+    step = lambda x, body: f"list_transform([{x}], lambda x: {body})[1]"
+    x = step(x, "substr(x, 1, 1) || replace(substr(x, 2), 'h', '')")
+    x = f"translate({x}, '{fixed_values.SKELETON_FROM}', '{fixed_values.SKELETON_TO}')"
+    x = step(x, "substr(x, 1, 1) || regexp_replace(substr(x, 2), '[aeiou]', '', 'g')")
+    x = step(x, "array_to_string(list_filter(string_split(x, ''), lambda c, i: i = 1 OR c <> substr(x, i - 1, 1)), '')")
+    return f"CASE WHEN regexp_full_match({t}, '[0-9]*') THEN {t} ELSE {x} END"
+
+
+_SKELETONS = f"""sn AS (SELECT * FROM (SELECT DISTINCT ckey, side, rec_id, {_skeleton_sql('tok')} AS tok FROM ntok) WHERE tok <> ''),
+sa AS (SELECT * FROM (SELECT DISTINCT ckey, side, rec_id, {_skeleton_sql('tok')} AS tok FROM atok) WHERE tok <> '')"""
+_NS_SQL = S.cross_sql(S.rare_sql("sn", S.CFG.name_topk), S.rare_sql("sa", S.CFG.addr_topk - 1), B.NS)
+
+
+@query(f"WITH {S.REC}, {_SKELETONS} {_KEY} ({_NS_SQL})")
 def key_ns(spark, d):
     return B.build_keys(_phonetic(S.records(spark, d)), S.CFG, (B.NS,))
 
@@ -94,7 +90,7 @@ def key_ph(spark, d):
     return B.build_keys(_phonetic(S.records(spark, d)), S.CFG, (B.PH,))
 
 
-@query()
+@query(f"WITH {S.REC} SELECT DISTINCT tok, {_skeleton_sql('tok')} AS skel FROM ntok")
 def skeleton(spark, d):
     return B.record_tokens(S.records(spark, d), "n_core").select("tok").distinct().select("tok", text.skeleton(F.col("tok")).alias("skel"))
 
@@ -150,10 +146,10 @@ def candidate_union(spark, d):
     return out.select("ckey", "q_id", "i_id", r6("bscore"), "bits", F.col("brank").cast("long").alias("brank"))
 
 
-@query(f"WITH {_BM25} SELECT k, round(avg((rk IS NOT NULL AND rk < k)::INT), 6) AS recall, round(avg((c.q_id IS NOT NULL OR (rk IS NOT NULL AND rk < k))::INT), 6) AS union_recall FROM truth t LEFT JOIN cand c ON c.q_id = t.q_id AND c.i_id = t.i_id LEFT JOIN (SELECT * FROM bk WHERE rk < 20) b ON b.q_id = t.q_id AND b.i_id = t.i_id CROSS JOIN (VALUES (5), (10), (20)) v(k) GROUP BY k")
+@query(f"WITH {_BM25} SELECT k, round(avg((rk IS NOT NULL AND rk < k)::INT), 6) AS recall, round(avg((c.q_id IS NOT NULL OR (rk IS NOT NULL AND rk < k))::INT), 6) AS union_recall, round(count(*) FILTER (WHERE c.q_id IS NULL AND rk < k) / nullif(count(*) FILTER (WHERE c.q_id IS NULL), 0), 6) AS rescue FROM truth t LEFT JOIN cand c ON c.q_id = t.q_id AND c.i_id = t.i_id LEFT JOIN (SELECT * FROM bk WHERE rk < 20) b ON b.q_id = t.q_id AND b.i_id = t.i_id CROSS JOIN (VALUES (5), (10), (20)) v(k) GROUP BY k")
 def retriever_probe(spark, d):
     ranked, recs = _ranked(spark, d, 20)
-    return E.retriever_probe(S.truth(recs), S.scored(recs), ranked, [5, 10, 20]).select("k", r6("recall"), r6("union_recall"))
+    return E.retriever_probe(S.truth(recs), S.scored(recs), ranked, [5, 10, 20]).select("k", r6("recall"), r6("union_recall"), r6("rescue"))
 
 
 _KNN = """v AS (SELECT vec_id, CAST(label AS VARCHAR) AS ckey, embedding::DOUBLE[] AS vec FROM embeddings),
@@ -352,10 +348,23 @@ def threshold_tune(spark, d):
     return D.tune(S.scored(recs), S.truth(recs), S.entities(recs), grid=[]).select("tau", r6("f05"))
 
 
-@query()
+_list = lambda xs: ", ".join(f"({x!r}::DOUBLE)" for x in xs)
+
+
+@query(f"""WITH {S.PAIRS}, g AS (SELECT q_id, count(*) AS G FROM truth GROUP BY q_id),
+lab AS (SELECT o.q_id, o.p, row_number() OVER r AS k, sum(o.p) OVER r AS cum, sum(o.p) OVER q AS total, product(1 - least(o.p, 1 - 1e-12)) OVER q AS nothing, count(t.q_id) OVER r AS tp
+  FROM one o LEFT JOIN truth t ON t.q_id = o.q_id AND t.i_id = o.i_id WINDOW r AS (PARTITION BY o.q_id ORDER BY o.p DESC, o.i_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY o.q_id)),
+settings AS (SELECT 'threshold' AS kind, tau, NULL::DOUBLE AS gamma, NULL::DOUBLE AS miss FROM (VALUES {_list(D.THRESHOLDS)}) t(tau)
+  UNION ALL SELECT 'expected_f', tau, gamma, miss FROM (VALUES {_list(D.TAUS)}) t(tau), (VALUES {_list(D.GAMMAS)}) h(gamma), (VALUES {_list(D.MISSES)}) m(miss)),
+ef AS (SELECT s.*, q_id, k, tp, nothing, CASE WHEN kind = 'threshold' THEN CASE WHEN p >= tau THEN k ELSE -1 END WHEN p < tau THEN -1 ELSE 1.25 * cum / (0.25 * (total + miss) + k) END AS ef FROM lab, settings s),
+top AS (SELECT kind, tau, gamma, miss, q_id, max(ef) AS top, arg_min(k, (-ef, k)) AS stop, arg_min(tp, (-ef, k)) AS tp, any_value(nothing) AS nothing FROM ef GROUP BY ALL),
+per AS (SELECT *, top > 0 AND (kind = 'threshold' OR top > gamma * nothing) AS ok FROM top),
+grid AS (SELECT s.kind, s.tau, s.gamma, s.miss, coalesce(g.G, 0) AS G, CASE WHEN ok THEN stop ELSE 0 END AS P, CASE WHEN ok THEN tp ELSE 0 END AS TP
+  FROM ent e CROSS JOIN settings s LEFT JOIN g USING (q_id) LEFT JOIN per x ON x.q_id = e.q_id AND x.kind = s.kind AND x.tau = s.tau AND x.gamma IS NOT DISTINCT FROM s.gamma AND x.miss IS NOT DISTINCT FROM s.miss)
+SELECT kind, tau, gamma, miss, round(avg({S.F05}), 6) AS f05 FROM grid GROUP BY ALL""")
 def decision_tune(spark, d):
     recs = S.records(spark, d)
-    return D.tune(S.scored(recs), S.truth(recs), S.entities(recs))
+    return D.tune(S.scored(recs), S.truth(recs), S.entities(recs)).select("kind", "tau", "gamma", "miss", r6("f05"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -409,12 +418,28 @@ def error_taxonomy(spark, d):
     return E.error_kinds(S.entities(recs), S.truth(recs), _chosen(recs), S.scored(recs))
 
 
-@query()
+_MISS = {
+    "name_non_latin": "NOT regexp_matches(inn, '[a-z]')",
+    "name_no_shared_token": "NOT list_has_any(qt, it)",
+    "addr_empty": "ia = ''",
+    "addr_no_shared_token": "ia <> '' AND NOT list_has_any(qw, iw)",
+    "addr_numbers_disjoint": r"len(regexp_extract_all(qa, '\d+')) > 0 AND len(regexp_extract_all(ia, '\d+')) > 0 AND NOT list_has_any(regexp_extract_all(qa, '\d+'), regexp_extract_all(ia, '\d+'))",
+    "NO_SHARED_TOKEN_AT_ALL": "NOT list_has_any(qt, it) AND (ia = '' OR NOT list_has_any(qw, iw))",
+}
+_SHARE = "coalesce(count(*) FILTER (WHERE {0}found AND has) / nullif(count(*) FILTER (WHERE {0}found), 0), 0)"
+
+
+@query(f"""WITH {S.PAIRS}, x AS (SELECT c.q_id IS NOT NULL AS found, a.name AS qt, a.addr AS qw, array_to_string(a.addr, ' ') AS qa, array_to_string(b.name, ' ') AS inn, b.name AS it, b.addr AS iw, array_to_string(b.addr, ' ') AS ia
+  FROM truth t JOIN rec a ON a.rec_id = t.q_id JOIN rec b ON b.rec_id = t.i_id LEFT JOIN cand c ON c.q_id = t.q_id AND c.i_id = t.i_id),
+y AS ({' UNION ALL '.join(f"SELECT '{k}' AS trait, found, {v} AS has FROM x" for k, v in _MISS.items())}),
+z AS (SELECT trait, {_SHARE.format('NOT ')} AS missed, {_SHARE.format('')} AS found FROM y GROUP BY trait)
+SELECT v.trait, round(coalesce(missed, 0), 6) AS missed, round(coalesce(found, 0), 6) AS found, CASE WHEN found > 0 THEN round(missed / found, 6) ELSE 'infinity'::DOUBLE END AS lift
+FROM (VALUES {', '.join(f"('{k}')" for k in _MISS)}) v(trait) LEFT JOIN z USING (trait)""")
 def miss_lift(spark, d):
     recs = S.records(spark, d)
     t = _named(S.truth(recs).join(S.scored(recs).select("q_id", "i_id", F.lit(True).alias("found")), ["q_id", "i_id"], "left"), recs)
     traits = E.miss_traits(F.col("qn"), F.col("qa"), F.col("in_"), F.col("ia"), F.col("qt"), F.col("it"), F.col("qw"), F.col("iw"))
-    return E.miss_lift(t.select(F.coalesce("found", F.lit(False)).alias("found"), *[c.alias(k) for k, c in traits.items()]))
+    return E.miss_lift(t.select(F.coalesce("found", F.lit(False)).alias("found"), *[c.alias(k) for k, c in traits.items()])).select("trait", r6("missed"), r6("found"), r6("lift"))
 
 
 @query(f"""WITH {S.PAIRS}, g AS (SELECT q_id, count(*) AS G FROM truth GROUP BY q_id),
@@ -453,7 +478,7 @@ def _lists(spark, d):
     return V.id_lists(S.entities(recs).select(name("q_id").alias("q_id"), F.col("q_id").alias("row_no")), pairs, "p")
 
 
-@query()
+@query("SELECT '' AS rule, '' AS severity, '' AS s1_id FROM documents WHERE false")
 def validate_rules(spark, d):
     """No rows: what the writer makes passes the checks."""
     lists = _lists(spark, d)
@@ -465,12 +490,13 @@ def validate_rules(spark, d):
 # --- samples, folds, models ----------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT doc_id, {crc_sql('doc_id::VARCHAR')} % 10 AS fold FROM documents")
 def fold_crc32(spark, d):
     return S.table(spark, d, "documents").select("doc_id", text.crc_fold(F.col("doc_id").cast("string")).alias("fold"))
 
 
-@query()
+@query(f"""WITH {S.PAIRS}, q AS (SELECT q_id FROM ent WHERE {crc_sql("'dev' || q_id")} % 1000 < 300), i AS (SELECT rec_id AS i_id FROM rec WHERE side = 'i')
+SELECT 'q' AS side, q_id AS id FROM q UNION ALL SELECT DISTINCT 'i', i.i_id FROM i LEFT JOIN truth t USING (i_id) LEFT JOIN q ON q.q_id = t.q_id WHERE q.q_id IS NOT NULL OR (t.q_id IS NULL AND {crc_sql("'devx' || i.i_id")} % 1000 < 300)""")
 def dev_subsample(spark, d):
     recs = S.records(spark, d)
     q, idx, t = E.dev_subsample(S.entities(recs), recs.where("side = 'i'").select(F.col("rec_id").alias("i_id")), S.truth(recs).select("q_id", "i_id"), 0.3)
@@ -491,88 +517,6 @@ def isotonic(spark, d):
     return calibrated_labels(spark, d)
 
 
-# --- business records ----------------------------------------------------------------------------
-
-_BIZ = [
-    ("S1-1", "Apex Media Private Limited", "304, 3rd Floor, MG Road, Bangalore, KA", "India"),
-    ("S1-2", "The Company Inc", "12 W Main St, Springfield, New York", "US"),
-    ("S1-3", "Acme Tools LLC", "7 Oak Ave, Reno, NV", "US"),
-    ("S1-4", "Societe Dupont et Fils", "5 rue de Lyon, Bretagne", "France"),
-    ("S2-1", "Apex Media", "304 MG Road, Bengaluru, Karnataka", "India"),
-    ("S2-2", "Company Inc", "", ""),
-    ("S2-3", "Acme Tols Inc", "7 Oak Avenue, Reno, Nevada", "US"),
-    ("S3-1", "Media Apex Services", "N/A", "India"),
-    ("S3-2", "Dupont", "5 r de Lyon", "France"),
-    ("S3-3", "Tools Acme", "9 Oak Avenue, Reno", ""),
-]
-_BIZ_SQL = "biz(id, name, addr, country) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{e}')" for a, b, c, e in _BIZ) + ")"
-
-
-def _biz(spark):
-    return spark.createDataFrame(_BIZ, "id string, name string, addr string, country string")
-
-
-_CANON = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in names.V.NAME_WORDS.items()) + "}"
-_LEGAL = ", ".join(f"'{w}'" for w in sorted(names.V.LEGAL_WORDS))
-
-
-@query(f"""WITH {_BIZ_SQL}, w AS (SELECT id, list_transform(list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: coalesce({_CANON}[x], x)) AS t FROM biz)
-SELECT id, array_to_string(t, ' ') AS n_full, array_to_string(CASE WHEN len(list_filter(t, lambda x: x NOT IN ({_LEGAL}))) > 0 THEN list_filter(t, lambda x: x NOT IN ({_LEGAL})) ELSE t END, ' ') AS n_core FROM w""")
-def norm_name_core(spark, d):
-    return names.normalize_names(_biz(spark), "name", phonetic=False, folded=True).select("id", "n_full", "n_core")
-
-
-@query()
-def norm_name(spark, d):
-    return names.normalize_names(_biz(spark), "name").select("id", *names.COLUMNS)
-
-
-@query()
-def norm_addr(spark, d):
-    from ..functions.addresses import COLUMNS
-
-    return normalize_addresses(_biz(spark), "addr", "country").select("id", *COLUMNS)
-
-
-@query(f"""WITH {_BIZ_SQL}, c AS (SELECT id, lower(trim(country)) AS ckey FROM biz), q AS (SELECT DISTINCT ckey FROM c WHERE id LIKE 'S1-%'), i AS (SELECT * FROM c WHERE id NOT LIKE 'S1-%')
-SELECT id, ckey FROM i JOIN q USING (ckey) UNION ALL SELECT i.id, q.ckey FROM i CROSS JOIN q WHERE i.ckey = '' AND q.ckey <> ''""")
-def blank_country_partition(spark, d):
-    rows = _biz(spark).select("id", text.country_key(F.col("country")).alias("ckey"))
-    return B.country_or_blank(rows.where("id like 'S1-%'"), rows.where("id not like 'S1-%'"))
-
-
-@query(f"""WITH {_BIZ_SQL}, s2 AS (SELECT substr(id, 4) AS k, id FROM biz WHERE id LIKE 'S2-%'), s3 AS (SELECT substr(id, 4) AS k, id FROM biz WHERE id LIKE 'S3-%' AND substr(id, 4) <> '2')
-SELECT k AS entity_id, 2 AS src FROM s2 UNION ALL SELECT k, 3 FROM s3 WHERE k NOT IN (SELECT k FROM s2)""")
-def src_union_antidup(spark, d):
-    from ..sources.tsv import index_union
-
-    k = F.substring("id", 4, 10).alias("entity_id")
-    return index_union(_biz(spark).where("id like 'S2-%'").select(k), _biz(spark).where("id like 'S3-%' and id <> 'S3-2'").select(k))
-
-
-_TSV = ["entity_id\tbusiness_name\tbusiness_address\tcountry", "S1-1\tA \"b\"\tx\ty\tUS", "S1-2\tshort", "", "\tno id\ta\tUS", "S1-1\tagain\tz\tUS", " S1-3 \tC'\t 1 Rd \tFR"]
-
-
-@query("SELECT * FROM (VALUES ('S1-1', 'A \"b\"', 'x y', 'US'), ('S1-2', 'short', '', ''), ('S1-3', 'C''', '1 Rd', 'FR')) t(entity_id, business_name, business_address, country)")
-def tsv_repair(spark, d):
-    from ..sources.tsv import parse_records
-
-    return parse_records(spark.createDataFrame(list(enumerate(_TSV)), "row_no long, value string")).drop("row_no")
-
-
-@query("SELECT * FROM (VALUES ('S1-1', 'S2-1'), ('S1-1', 'S3-4'), ('S1-3', 'S2-9')) t(q_id, i_id)")
-def gt_explode(spark, d):
-    from ..sources.tsv import explode_truth, parse_id_map
-
-    lines = ["source1_entity_id\tmatched_entity_ids", "S1-1\tS2-1, S3-4,,", "S1-2\t", "S1-3\tS2-9"]
-    return explode_truth(parse_id_map(spark.createDataFrame(list(enumerate(lines)), "row_no long, value string")))
-
-
-@query("SELECT * FROM (VALUES ('legal_suffix_dropped', 1), ('token_appended', 1), ('token_appended_descriptor', 1), ('typo_in_name', 1), ('word_transposition', 1), ('name_truncated', 2)) t(tag, n)")
-def tag_rates(spark, d):
-    from ..functions.tags import name_tags
+from . import record_queries  # noqa: E402, F401
 
-    pairs = [("Acme Tools Inc", "Acme Tools"), ("Acme Tools", "Acme Tools Group"), ("Acme Tools", "Acme Tols"), ("Acme Tools", "Tools Acme"), ("Acme Fine Tools", "Acme Tools")]
-    x = spark.createDataFrame(pairs, "a string, b string")
-    a, b = F.col("a"), F.col("b")
-    return x.select(F.explode(name_tags(a, b, a, b)).alias("tag")).groupBy("tag").agg(F.count("*").cast("int").alias("n"))
+__all__ = ["ORACLE", "QUERIES"]

@@ -67,15 +67,22 @@ def parse_id_map(rows: DataFrame, header: str = "source1_entity_id") -> DataFram
 
 def read_countries(spark: SparkSession, path: str, restrict: DataFrame | None = None) -> DataFrame:
     """(entity_id, country) of lines with four fields or more."""
+    out = parse_countries(lines(spark, path))
+    return out if restrict is None else out.join(restrict.select("entity_id"), "entity_id", "left_semi")
+
+
+def parse_countries(rows: DataFrame) -> DataFrame:
     f = F.split("value", "\t", -1)
-    rows = lines(spark, path)
     first = rows.agg(F.min("row_no")).first()[0]
-    out = rows.where((F.col("row_no") > F.lit(first)) & (F.size(f) >= 4)).select(F.get(f, F.lit(0)).alias("entity_id"), F.get(f, F.lit(3)).alias("country"))
-    return out if restrict is None else out.join(restrict.select("entity_id"), "entity_id", "left_semi")
+    return rows.where((F.col("row_no") > F.lit(first)) & (F.size(f) >= 4)).select(F.get(f, F.lit(0)).alias("entity_id"), F.get(f, F.lit(3)).alias("country"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    return lines(spark, path).where("value <> ''").select(F.get(F.split("value", "\t"), F.lit(0)).alias("id")).distinct()
+    return parse_ids(lines(spark, path))
+
+
+def parse_ids(rows: DataFrame) -> DataFrame:
+    return rows.where("value <> ''").select(F.get(F.split("value", "\t"), F.lit(0)).alias("id")).distinct()
 
 
 def index_union(s2: DataFrame, s3: DataFrame) -> DataFrame:

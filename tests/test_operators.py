@@ -146,7 +146,9 @@ def test_subsample_keeps_clusters(spark):
     assert not any(100 + k in ids for k in set(range(60)) - kept)
 
 
-def test_top_rows_matches_sorting(spark):
+@pytest.mark.parametrize("sorted_rows", [0, 100_000])
+def test_top_rows_matches_sorting(spark, monkeypatch, sorted_rows):
+    monkeypatch.setattr(E, "SORTED_ROWS", sorted_rows)
     rows = [(i, (i * 7919) % 101 / 7 if i % 13 else None, i % 5) for i in range(5000)]
     df = spark.createDataFrame(rows, "id long, s double, g int")
     order = sorted(rows, key=lambda r: (float("inf") if r[1] is None else -r[1], r[0]))
