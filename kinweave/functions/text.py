@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,8 +24,39 @@ _VIRAMA, _MARKS = 0x4D, {0x01: "n", 0x02: "n", 0x03: "h", 0x3C: "", 0x3D: ""}
 _LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
 
 
+#: Cyrillic letters whose Latin form is not how their name begins.
+_CYRILLIC = {"ghe": "g", "ie": "e", "io": "yo", "short i": "y", "el": "l", "em": "m", "en": "n", "er": "r", "es": "s", "ef": "f", "ha": "kh", "hard sign": "", "soft sign": "", "yeru": "y", "yu": "yu", "ya": "ya", "yi": "yi", "ukrainian ie": "ye", "byelorussian-ukrainian i": "i", "short u": "w"}
+_SYLLABARIES = {"hiragana", "katakana", "hangul", "ethiopic", "cherokee", "yi"}
+
+
+@lru_cache(4096)
+def named_letter(ch: str) -> str | None:
+    """A letter in Latin letters after its Unicode name: whole syllables as they are named, others by how the name begins.
+
+    None for characters that are named by number only, such as CJK ideographs.
+    """
+    script, _, rest = unicodedata.name(ch, "").lower().partition(" ")
+    for kind in ("letter ", "syllable ", "character "):
+        if kind in rest:
+            name = rest.partition(kind)[2].partition(" with ")[0]
+            break
+    else:
+        return "" if unicodedata.combining(ch) else None
+    if script in _SYLLABARIES:
+        return name.removeprefix("small ").replace(" ", "") if not name.startswith("prolonged") else ""
+    if script == "cyrillic" and name in _CYRILLIC:
+        return _CYRILLIC[name]
+    if script == "thai" and name.startswith(("sara ", "mai ")):
+        return name[5:] if name.startswith("sara ") else ""
+    name = name.removeprefix("final ")
+    return re.match("[^aeiou]+|.?", name.split(" ")[0])[0].replace("rh", "r")
+
+
 def fold_text(s: str) -> str:
-    """NFKC, Latin letters without marks, Indic syllables in Latin letters, lower case. Other letters become blanks."""
+    """NFKC, Latin letters without marks, Indic syllables and letters of other alphabets in Latin letters, lower case.
+
+    Characters without a Latin form (ideographs, symbols) become blanks.
+    """
     if s.isascii():
         return s.lower()
     out: list[str] = []
@@ -51,7 +84,9 @@ def fold_text(s: str) -> str:
             out.append(_LATIN[ch])
         else:
             plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-            out.append(plain if plain.isascii() else "" if unicodedata.combining(ch) else " ")
+            if not plain.isascii() or not plain:
+                plain = named_letter(ch)
+            out.append(" " if plain is None else plain)
     return "".join(out).lower()
 
 

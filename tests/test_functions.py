@@ -104,6 +104,12 @@ def test_tags(spark):
     assert {"name_zero_token_overlap", "name_RANDOM_replacement"} <= set(names)
 
 
+def test_letters_of_other_alphabets():
+    vectors = {"Москва": "moskva", "Щука й": "shchuka y", "Αθήνα": "athena", "Ψυχή": "psuche", "שלום": "shlvm", "سلام": "slam", "すし": "susi", "サクラ": "sakura", "서울": "seoul", "თბილისი": "tbilisi", "กา": "kaa", "北京": "  ", "①": "1", "☃": " "}
+    for text, want in vectors.items():
+        assert T.fold_text(text) == want, text
+
+
 def test_skeleton_of_a_very_long_token(spark):
     from kinweave.functions import text
 
