@@ -16,6 +16,7 @@ Null text encodes as empty. Strings of added tokens inside texts become those to
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .pieces import Pieces, byte_of_char, vocabulary
+from .pieces import Pieces, byte_of_char, shipped
 
 VOCABULARY = "byte_bpe_50k.json"
 _TABLE_CELLS = 200_000
@@ -121,10 +122,10 @@ class Automaton:
 
 
 class Coder:
-    """Encoding and decoding with one vocabulary file."""
+    """Encoding and decoding with one vocabulary, the bytes of its JSON file."""
 
-    def __init__(self, path: str):
-        spec = vocabulary(path)
+    def __init__(self, data: bytes):
+        spec = json.loads(data)
         chars, model = byte_of_char(), spec["model"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocab = {k: v for k, v in model["vocab"].items() if k not in self.added}
@@ -145,8 +146,9 @@ class Coder:
 
 
 @lru_cache(2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(data: bytes) -> Coder:
+    """One for all tasks of a worker, so its memo lasts."""
+    return Coder(data)
 
 
 def ids_array(parts: list[np.ndarray]) -> pa.ListArray:
@@ -177,26 +179,25 @@ class _Digests:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(did, rest, ids array<int>); with ``digest`` the ids are decoded again in the same pass, and the digests of both added."""
-    C.small_batches(docs.sparkSession, 256)
-    rows = C.keyed(docs, id_col, text_col)
+    rows, data = C.keyed(docs, id_col, text_col), shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
+        c = coder(data.value)
         d = _Digests(c)
         for b in batches:
             ids = [c.encode(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             more = d.columns(ids) if digest else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("rest")), ids_array(ids), *more], ["did", "rest", "ids", "n_tokens", "ids_sha256", "decoded_sha256"][: 3 + len(more)])
 
-    return rows.mapInArrow(run, C.fields("did long", ("rest", rows.schema["rest"].dataType), "ids array<int>" + (f", {_DIGESTS}" if digest else "")))
+    return C.mapped(rows, run, C.fields("did long", ("rest", rows.schema["rest"].dataType), "ids array<int>" + (f", {_DIGESTS}" if digest else "")))
 
 
 def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """The columns of ``encoded`` but its ids, with the text they spell; with ``digest``, the digests instead."""
-    kept = [c for c in encoded.columns if c != "ids"]
+    kept, data = [c for c in encoded.columns if c != "ids"], shipped(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
+        c = coder(data.value)
         d = _Digests(c)
         for b in batches:
             ids = id_lists(b.column(b.schema.get_field_index("ids")))
@@ -206,7 +207,7 @@ def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([c.decode(x) for x in ids], pa.string())], [*kept, "text"])
 
-    return encoded.mapInArrow(run, C.fields(*[(c, encoded.schema[c].dataType) for c in kept], _DIGESTS if digest else "text string"))
+    return C.mapped(encoded, run, C.fields(*[(c, encoded.schema[c].dataType) for c in kept], _DIGESTS if digest else "text string"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,6 @@ FORMATTED = "conv long, at long, text string, loss array<struct<start:int,end:in
 def format_turns(turns: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, at, text, loss, problem): a row a turn, rows of a conversation together and in order; loss has [start, end) code points."""
     template = template or Template()
-    C.small_batches(turns.sparkSession, 2048)
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     conv = F.coalesce(F.col(f"`{conv_col}`").cast("long"), F.lit(C.NULL_ID))
     rows = turns.select(conv.alias("conv"), F.col(f"`{turn_col}`").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
@@ -109,7 +108,7 @@ def format_turns(turns: DataFrame, template: Template | None = None, conv_col: s
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), _LOSS, pa.string()), strict=True)], ["conv", "at", "text", "loss", "problem"])
 
-    return ordered.select("conv", "role", "text").mapInArrow(run, FORMATTED)
+    return C.mapped(ordered.select("conv", "role", "text"), run, FORMATTED, 2048)
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:

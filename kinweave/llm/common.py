@@ -6,9 +6,12 @@ under ``spark.checkpoint.dir`` as the session names it.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (local runs)."""
+    """The folder all executors share. A temporary one is made only in local mode, where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -37,21 +42,100 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Scratch folders of this process that still stand.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kinweave-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release, spark)
+    _made.append(f"{shared_dir(spark)}/kinweave-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession, made: list[str] | None = None) -> None:
+    """Delete scratch folders, all of this process by default; tables that were read from them are gone then."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    for path in list(_made if made is None else made):
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
+@contextmanager
+def cleaned(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Delete the scratch folders that are made inside and that nothing reads afterwards: all but those of the labels to keep."""
+    before = len(_made)
+    yield
+    release(spark, [p for p in _made[before:] if not any(f"/kinweave-{label}-" in p for label in keep)])
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """For an action that runs inside: Arrow batches of at most ``rows`` rows, so that both sides of the pipe hold few
+    texts at a time. The session's setting is put back afterwards; results that run later follow that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, now = spark.conf.getAll.get(key), int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
 
 
-def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy", rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     zstd takes less disk, but its native buffers add to an executor's memory outside the heap.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    with batch_rows(spark, rows):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most ``rows`` rows, whatever the session's setting is."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        # workers wait for other tasks: what this one took goes back to the system
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+    return df.mapInArrow(sliced, schema)
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
+#: A key with over one in HEAVY of all rows is hot: there are fewer than HEAVY of them, whatever the data.
+HEAVY = 1000
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join with ``right``, one row a key with the number of rows of ``left`` it meets. Both are stored tables.
+
+    Hot keys, fewer than HEAVY by that number, meet their rows by broadcast, so these stay where they are; the others
+    meet by shuffle, where none has more than one in HEAVY of the rows.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(weight) > total // HEAVY).drop(weight))
+    cold = right.where(F.col(weight) <= total // HEAVY).drop(weight)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(cold, on, how))
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -128,7 +212,11 @@ def bit_filter(keys: DataFrame, column: str, max_bits: int = FILTER_BITS) -> np.
     bitmap reaches the driver.
     """
     spark = keys.sparkSession
-    keys = stored(keys.select(column), "filter-keys")
+    with cleaned(spark):
+        return _bitmap(spark, stored(keys.select(column), "filter-keys"), max_bits)
+
+
+def _bitmap(spark: SparkSession, keys: DataFrame, max_bits: int) -> np.ndarray:
     bits = min(max_bits, max(16, (32 * keys.count()).bit_length()))
     seg_bits = min(_SEGMENT, bits)
     words = 2**seg_bits // 8
@@ -177,17 +265,18 @@ def connected_components(nodes_edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps. Each step groups by node, keeps only a minimum and a row
-    per neighbour (never a list), and is checkpointed, so no step grows lineage and a hub is an ordinary key
-    whose minimum is pre-aggregated before the shuffle.
+    per neighbour (never a list), and is checkpointed, so no step grows lineage. A hub's minimum is pre-aggregated
+    before the shuffle; minima are checkpointed by themselves, so the join with them deals both sides anew and adaptive
+    execution can split a hub's rows.
     """
     shared_dir(nodes_edges.sparkSession)
     edges = nodes_edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct().checkpoint()
     before = None
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("lo < hi").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("lo < hi").distinct().checkpoint()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m")).checkpoint()
         small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.lo", "e.hi").where("lo < hi").distinct()
         edges = small.checkpoint()
         # a star forest: no centre is a leaf, and each leaf has one centre; two sums tell whether a round changed anything

@@ -31,6 +31,22 @@ def published(uri: str) -> Iterator[pa.NativeFile]:
         raise
 
 
+def created(uri: str) -> pa.NativeFile:
+    fs, path = store(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(path)
+
+
+def moved(uri: str, to: str) -> None:
+    fs, path = store(uri)
+    fs.move(path, store(to)[1])
+
+
+def deleted(uri: str) -> None:
+    fs, path = store(uri)
+    fs.delete_file(path)
+
+
 def listed(uri: str, suffix: str) -> list[tuple[str, int]]:
     """(uri, size) of the files of a folder with this suffix, by name."""
     fs, path = store(uri)

@@ -110,7 +110,8 @@ def _counts(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.r_[-1, at]), pa.array(np.r_[docs[lang], c[at]])], ["lang", "bucket", "n"])
 
     # added up by bucket; what reaches the driver is at most BUCKETS + 1 rows a language
-    total = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    with C.batch_rows(rows.sparkSession):
+        total = C.mapped(rows, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(total.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     counts, docs = np.zeros((len(langs), BUCKETS)), np.zeros(len(langs))
@@ -123,7 +124,6 @@ def _counts(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    C.small_batches(docs.sparkSession)
     usable = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull())
     # null texts never count as labelled; the test on text is left to the reading of the sample
     n = usable.count()
@@ -158,7 +158,9 @@ def _trust(sample: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right))), pa.array(right), pa.array(np.full(len(right), n))], ["bit", "right", "n"])
 
     out = np.ones(model.code.shape[1])
-    for r in sample.mapInArrow(run, "bit long, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect():  # a row a bit
+    with C.batch_rows(spark):
+        found = C.mapped(sample, run, "bit long, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()  # a row a bit
+    for r in found:
         share = (r["right"] + 1) / (r["n"] + 2)
         out[r["bit"]] = max(np.log(share / (1 - share)), 0.01)
     return out / out.mean()
@@ -167,7 +169,6 @@ def _trust(sample: DataFrame, model: Model) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` as ``row`` (a struct of all columns), with lang_pred, score and ambiguous."""
     spark = docs.sparkSession
-    C.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(C.whole_row(docs).alias("row"))
     at = docs.columns.index(text_col)
@@ -178,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             said = [m.predict(t) for t in b.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64()), pa.array([s < AMBIGUOUS for _, s in said], pa.bool_())], ["row", "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, C.fields(("row", rows.schema["row"].dataType), "lang_pred string, score double, ambiguous boolean"))
+    return C.mapped(rows, run, C.fields(("row", rows.schema["row"].dataType), "lang_pred string, score double, ambiguous boolean"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

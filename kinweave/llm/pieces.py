@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import regex
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 #: The pre-splitting pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -22,9 +23,10 @@ class _Uneven(Exception):
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def shipped(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """A vocabulary file of the driver's (some megabytes) for all executors, which may not have it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 @lru_cache(1)

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -69,3 +71,62 @@ def test_whole_texts_count():
     text = "a b c d e" * 30_000
     n = sum(len(g) for g in langid.grams(text))
     assert n == sum(len(text) + 2 - k + 1 for k in langid.GRAMS)
+
+
+def plain(rows):
+    """(doc_id, held_out, lang_pred, score) of (doc_id, text, lang), without numpy in the counting and without Spark."""
+
+    def grams(text):
+        data = f" {text.lower()} ".encode()
+        return [((int.from_bytes(data[i : i + n], "big") + n) * 2654435761 % 2**32) >> 17 for n in (1, 2, 3, 4) for i in range(len(data) - n + 1)]
+
+    letters = lambda t: t is not None and any(c.isalpha() for c in t)
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in rows}
+    learn = [(t, lang) for d, t, lang in rows if not held[d] and lang is not None and letters(t)]
+    langs = sorted({x for _, x in learn})
+    counts = {x: [0.0] * langid.BUCKETS for x in langs}
+    for t, lang in learn:
+        for g in grams(t):
+            counts[lang][g] += 1
+    rate = {x: [(c + 0.5) / (sum(counts[x]) + 0.5 * langid.BUCKETS) for c in counts[x]] for x in langs}
+    code = langid.codewords(len(langs))
+    sides = [([x for i, x in enumerate(langs) if code[i, b] > 0], [x for i, x in enumerate(langs) if code[i, b] < 0]) for b in range(code.shape[1])]
+    memo = {}
+
+    def weight(b, g):
+        if (b, g) not in memo:
+            one, two = sides[b]
+            memo[b, g] = math.log(sum(rate[x][g] for x in one) / len(one)) - math.log(sum(rate[x][g] for x in two) / len(two))
+        return memo[b, g]
+
+    def margins(t):
+        gs = Counter(grams(t))
+        n = sum(gs.values())
+        return [sum(weight(b, g) * k for g, k in gs.items()) / n * min(n, 100) for b in range(len(sides))]
+
+    right = [0] * len(sides)
+    for t, lang in learn:
+        for b, m in enumerate(margins(t)):
+            right[b] += code[langs.index(lang), b] * m > 0
+    trust = [max(math.log((k + 1) / (len(learn) + 1 - k)), 0.01) for k in right]
+    mean = sum(trust) / len(trust)
+    out = {}
+    for d, t, _ in rows:
+        if not letters(t):
+            out[d] = (held[d], "und", 0.0)
+            continue
+        m = margins(t)
+        loss = [sum(math.log1p(math.exp(-c * x)) * w / mean for c, x, w in zip(code[i].tolist(), m, trust, strict=True)) for i in range(len(langs))]
+        share = [math.exp(min(loss) - x) for x in loss]
+        best = loss.index(min(loss))
+        out[d] = (held[d], langs[best], share[best] / sum(share))
+    return out
+
+
+def test_query_equals_a_plain_version(spark, tmp_path):
+    rows = [(d, t, lang) for d, t, lang, _ in corpus(120, 3)] + [(900, None, "aa"), (901, "12", "bb"), (902, "", None), (903, "ka lo " * 3000, "aa")]
+    spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.op10_language_id(spark, str(tmp_path)).collect()}
+    want = plain(rows)
+    assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
+    assert all(abs(got[d][2] - want[d][2]) < 1e-4 for d in want)
