@@ -3,12 +3,14 @@
 Each record is a gzip member of its own. The reader cuts files into byte ranges; a task looks for gzip magic from
 the start of its range, decodes the candidate in whole and takes it for a record if its text opens as a WARC header,
 its checksum holds and a member or the end of the file follows. From there it goes from member to member, and owns
-those that start inside its range, however far they reach. So no range needs to know of another, and each record is
-read once whatever the ranges are.
+those that start inside its range, however far they reach. It decodes the first member behind its own as well, and a
+file's first range expects a record at byte 0: so a damaged record is an error wherever ranges are cut, though a task
+that searches a range passes over it. No range needs to know of another, and each record is read once.
 
 Payloads are UTF-8 texts; null counts as empty. Of equal payloads (by SHA-1 and length) of ``REVISIT_BYTES`` bytes or
 more, the row of the largest id is the response and the others revisit it; a null id is smaller than all others;
-rows that repeat the largest id are responses too. A null URL gives no target.
+rows that repeat the largest id are responses too. A null URL gives no target. Columns of pages other than id, URL and
+text have no place in a record and are left out; an empty table gives no file, and no rows when read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .files import listed, published, reader
+from .files import created, deleted, listed, moved, reader
 
 REVISIT_BYTES = 1000
 FILE_BYTES, SPLIT_BYTES = 1 << 30, 1 << 23
@@ -120,12 +123,15 @@ class Members:
 def records(uri: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, bytes) of the records that start in [start, end)."""
     m = Members(uri)
-    at: int | None = m.find(start, min(end, m.size))
-    while at is not None and (found := m.decode(at)) is None:
-        at = m.find(at + 1, min(end, m.size))
-    while at is not None and at < min(end, m.size):
+    end = min(end, m.size)
+    at = m.find(start, end) if start else 0 if end else None
+    while start and at is not None and m.decode(at) is None:
+        at = m.find(at + 1, end)
+    while at is not None and at < m.size:
         if (found := m.decode(at)) is None:
             raise ValueError(f"{uri}: a damaged record at byte {at}")
+        if at >= end:
+            return  # the next range's first record is sound: it will be found there
         yield at, found[0]
         at = found[1]
 
@@ -149,10 +155,14 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_archives(rows: DataFrame, uri: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write the rows of :func:`with_revisits` as ``part-*.warc.gz``; a file is closed when it reaches FILE_BYTES."""
+    """Write the rows of :func:`with_revisits` as ``part-*.warc.gz``; a file is closed when it reaches FILE_BYTES.
+
+    A task's files bear a name of the attempt; the driver moves those of the attempts that ended well into place, a row
+    a file of FILE_BYTES, and deletes what others left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
         ident = lambda x: f"{_PAGE}{'' if x == _NO_ID else x}"
 
         def members() -> Iterator[bytes]:
@@ -163,24 +173,30 @@ def write_archives(rows: DataFrame, uri: str, date: str = "1970-01-01T00:00:00Z"
 
         source = members()
         first = next(source, None)
+        made: tuple[list[str], list[str]] = ([], [])
         while first is not None:
-            with published(f"{uri}/part-{part:06d}-{n:04d}.warc.gz") as f:
+            made[0].append(f"part-{part:06d}-{n:04d}.{attempt}.tmp")
+            made[1].append(f"part-{part:06d}-{n:04d}.warc.gz")
+            with created(f"{uri}/{made[0][-1]}") as f:
                 size = 0
                 while first is not None and size < FILE_BYTES:
                     f.write(first)
                     size += len(first)
                     first = next(source, None)
             n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())], ["files"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in made], ["made", "name"])
 
-    C.small_batches(rows.sparkSession, 256)
-    rows.select("pid", "url", "text", "digest", "size", "refers_to").mapInArrow(run, "files int").agg(F.sum("files")).collect()
+    with C.batch_rows(rows.sparkSession):
+        found = C.mapped(rows.select("pid", "url", "text", "digest", "size", "refers_to"), run, "made string, name string").collect()
+    for r in found:
+        moved(f"{uri}/{r['made']}", f"{uri}/{r['name']}")
+    for name, _ in listed(uri, ".tmp"):
+        deleted(name)
 
 
 def read_archives(spark: SparkSession, uri: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """(file, offset, record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes, payload) of all records under a folder."""
-    ranges = [(name, at, at + split_bytes) for name, size in listed(uri, ".warc.gz") for at in range(0, size, split_bytes)]
-    work = spark.sparkContext.broadcast(ranges)
+    files = [f for f in listed(uri, ".warc.gz") if f[1]]
     names = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
     types = [pa.string()] * 5 + [pa.int64(), pa.binary()]
 
@@ -190,10 +206,9 @@ def read_archives(spark: SparkSession, uri: str, split_bytes: int = SPLIT_BYTES,
             return pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array([at for at, _ in out], pa.int64()), *cols], ["file", "offset", *names])
 
         for b in batches:
-            for i in b.column(0).to_pylist():
-                name, start, end = work.value[i]
+            for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out, size = [], 0
-                for at, data in records(name, start, end):
+                for at, data in records(name, start, start + split_bytes):
                     r = parse(data)
                     if not payloads:
                         r["payload"] = None
@@ -207,8 +222,9 @@ def read_archives(spark: SparkSession, uri: str, split_bytes: int = SPLIT_BYTES,
 
     fields = "file string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
     # a range of bytes is a task's worth of work; many small files share one
-    tasks = max(1, min(len(ranges), -(-sum(min(split_bytes, e - a) for _, a, e in ranges) // split_bytes), 100_000))
-    return spark.range(0, len(ranges), 1, tasks).mapInArrow(run, fields)
+    tasks = max(1, min(-(-sum(n for _, n in files) // split_bytes), 100_000))
+    ranges = spark.createDataFrame(files, "name string, size long").select("name", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split_bytes))).alias("start"))
+    return C.mapped(ranges.repartition(tasks, F.xxhash64("name", "start")), run, fields)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

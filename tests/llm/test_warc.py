@@ -3,6 +3,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from kinweave.llm import warc
 
 SCHEMA = "page_id long, url string, html string, digest int"
@@ -70,6 +72,32 @@ def test_magic_inside_payloads_is_no_record(tmp_path):
         assert got == at
 
 
+def test_damage_is_an_error_whatever_the_ranges(tmp_path):
+    data, at = b"", []
+    for i in range(6):
+        body = bytes(random.Random(i).choices(range(97, 123), k=300))
+        at.append(len(data))
+        data += warc.member(warc.record("response", f"urn:x-page:{i}", None, hashlib.sha1(body).hexdigest(), body, len(body), "d"))
+    for k in range(6):
+        for where in (0, 1, 40):
+            hurt = bytearray(data)
+            hurt[at[k] + where] ^= 0xFF
+            (tmp_path / "x.warc.gz").write_bytes(hurt)
+            for split in (1, 50, at[1], at[3], 10**6):
+                with pytest.raises(ValueError, match=f"byte {at[k]}|byte {at[k - 1] if k else 0}"):
+                    for s in range(0, len(data), split):
+                        list(warc.records(f"file://{tmp_path}/x.warc.gz", s, s + split))
+
+
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    uri = f"file://{tmp_path}/d"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-000000-0007.0123.tmp").write_bytes(b"half a file")
+    warc.write_archives(warc.with_revisits(spark.createDataFrame(pages(), SCHEMA)), uri)
+    assert warc.read_archives(spark, uri).count() == len(pages())
+    assert all(f.suffix == ".gz" for f in (tmp_path / "d").iterdir())
+
+
 def test_empty(spark, tmp_path):
     uri = f"file://{tmp_path}/c"
     warc.write_archives(warc.with_revisits(spark.createDataFrame([], SCHEMA)), uri)
