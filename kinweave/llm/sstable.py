@@ -11,8 +11,10 @@ A shard is a file of data blocks, a sparse index, a Bloom filter and a footer:
 * Bloom filter: ``BLOOM_BITS`` bits an identifier, ``BLOOM_HASHES`` places each by double hashing of XXH3-128;
 * footer: offsets and lengths of index and filter, documents, ids (six u64) and the magic bytes.
 
-Identifiers ascend inside a shard and from shard to shard. Null identifiers sort last. Rows of one identifier are all
-kept, ordered by text hash. Null text has the end id only. An empty table makes shards without documents.
+Identifiers ascend inside a shard and from shard to shard; a shard is closed at ``SHARD_BYTES`` of ids, so what a task
+holds for it (identifiers, index, filter) does not grow with the table. Null identifiers sort last. Rows of one
+identifier are all kept, ordered by text hash, and may be spread over several shards and tasks. Null text has the end id
+only. Other columns are left out. An empty table makes shards without documents.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .files import published, reader
+from .pieces import shipped
 
 MAGIC = b"KWSSTAB1"
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
+SHARD_BYTES = 1 << 28
 END_ID = 0
 _FOOTER = struct.Struct("<6Q8s")
 
@@ -58,11 +62,11 @@ class LibraryCoder:
     stands before white space or at an end, or that hold an added token, are given to the library in whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tool = Tokenizer.from_file(path)
+        self.tool = Tokenizer.from_buffer(data)
         self.tool.no_truncation()
         self.tool.no_padding()
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
@@ -147,9 +151,9 @@ class LibraryCoder:
 
 
 @lru_cache(1)
-def library_coder(path: str) -> LibraryCoder:
+def library_coder(data: bytes) -> LibraryCoder:
     """One for all tasks of a worker, so its memo lasts."""
-    return LibraryCoder(path)
+    return LibraryCoder(data)
 
 
 # --- the format ----------------------------------------------------------------------------------
@@ -185,12 +189,12 @@ def _bloom_places(key8: bytes, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
-def write_shard(uri: str, rows: Iterable[tuple[int, np.ndarray]]) -> tuple[int, int]:
-    """Write (identifier, ids) in identifier order; numbers of documents and ids."""
+def write_shard(uri: str, rows: Iterable[tuple[int, np.ndarray]], after: bytes = b"") -> tuple[int, int, bytes]:
+    """Write (identifier, ids) in identifier order; numbers of documents and ids, and the last key. ``after``: the last key of the shard before."""
     index, block, restarts = bytearray(), bytearray(), []
     idents: list[int] = []
     docs = total = at = inside = 0
-    last = b""
+    last = after
     with published(uri) as f:
 
         def flush() -> None:
@@ -203,7 +207,7 @@ def write_shard(uri: str, rows: Iterable[tuple[int, np.ndarray]]) -> tuple[int,
             block, restarts, inside = bytearray(), [], 0
 
         for ident, ids in rows:
-            row = struct.unpack(">I", last[8:])[0] + 1 if idents and idents[-1] == ident else 0
+            row = struct.unpack(">I", last[8:])[0] + 1 if last[:8] == key_of(ident)[:8] else 0
             key = key_of(ident, row)
             assert key > last, "identifiers have to ascend"
             width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
@@ -216,7 +220,7 @@ def write_shard(uri: str, rows: Iterable[tuple[int, np.ndarray]]) -> tuple[int,
                     shared += 1
             block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
             last, inside, docs, total = key, inside + 1, docs + 1, total + len(ids)
-            if row == 0:
+            if not idents or idents[-1] != ident:
                 idents.append(ident)
             if len(block) >= BLOCK_BYTES:
                 flush()
@@ -229,7 +233,7 @@ def write_shard(uri: str, rows: Iterable[tuple[int, np.ndarray]]) -> tuple[int,
                 bloom[p >> 3] |= 1 << (p & 7)
         tail = struct.pack("<Q", bits) + bloom.tobytes()
         f.write(bytes(index) + tail + _FOOTER.pack(at, len(index), at + len(index), len(tail), docs, total, MAGIC))
-    return docs, total
+    return docs, total, last
 
 
 class Shard:
@@ -308,12 +312,14 @@ class Shard:
 def write_table(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> list[tuple[str, int, int]]:
     """Encode and write shards in ascending identifier order; (file, documents, ids) of each, in that order."""
     spark = docs.sparkSession
-    C.small_batches(spark, 256)
-    rows = C.keyed(docs, id_col, text_col).select("did", "text")
-    dealt = rows.repartitionByRange(C.partitions(spark), "did").sortWithinPartitions("did", F.xxhash64("text"))
+    rows = C.keyed(docs, id_col, text_col).select("did", "text", F.monotonically_increasing_id().alias("nth"))
+    data = shipped(spark, tokenizer)
+    # a hot identifier is cut by text, and equal rows by their place
+    order = ["did", F.xxhash64("text"), "nth"]
+    dealt = rows.repartitionByRange(C.partitions(spark), *order).sortWithinPartitions(*order).select("did", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = library_coder(tokenizer)
+        coder = library_coder(data.value)
         end = np.array([] if end_id is None else [end_id], np.int32)
 
         def encoded() -> Iterator[tuple[int, np.ndarray]]:
@@ -321,14 +327,28 @@ def write_table(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_id
                 ids = coder.encode(b.column(1).to_pylist())
                 yield from ((d, np.concatenate([x, end])) for d, x in zip(b.column(0).to_pylist(), ids, strict=True))
 
-        n = TaskContext.get().partitionId()
-        name = f"{uri}/part-{n:06d}.sst"
-        docs_n, ids_n = write_shard(name, encoded())
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([name]), pa.array([docs_n]), pa.array([ids_n])], ["part", "name", "docs", "ids"])
+        source = encoded()
+        ahead = next(source, None)
+
+        def shard() -> Iterator[tuple[int, np.ndarray]]:
+            nonlocal ahead
+            size = 0
+            while ahead is not None and size < SHARD_BYTES:
+                size += ahead[1].nbytes
+                yield ahead
+                ahead = next(source, None)
+
+        part, n, last = TaskContext.get().partitionId(), 0, b""
+        while ahead is not None or n == 0:
+            name = f"{uri}/part-{part:06d}-{n:06d}.sst"
+            docs_n, ids_n, last = write_shard(name, shard(), last)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([docs_n]), pa.array([ids_n])], ["name", "docs", "ids"])
+            n += 1
 
     # a row for each shard
-    found = dealt.mapInArrow(run, "part long, name string, docs long, ids long").collect()
-    return [(r["name"], r["docs"], r["ids"]) for r in sorted(found, key=lambda r: r["part"])]
+    with C.batch_rows(spark):
+        found = C.mapped(dealt, run, "name string, docs long, ids long").collect()
+    return [(r["name"], r["docs"], r["ids"]) for r in sorted(found, key=lambda r: r["name"])]
 
 
 def read_table(spark: SparkSession, shards: list[tuple[str, int, int]], digest: bool = False) -> DataFrame:
