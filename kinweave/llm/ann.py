@@ -7,13 +7,15 @@ inner product of the original vectors in double precision.
 
 Data rows are dealt by bucket; a bucket with more rows than ``BUCKET_ROWS`` is split into that many slots by a hash of
 the id, and its queries go to every slot, so no task holds an unbounded bucket. Slots keep each query's best k rows only
-(those of all slots hold the best k of the bucket), and partial lists are merged by query. Where fewer than k
-neighbours came back, that query is compared with all rows, in blocks. More ``hashes`` make smaller buckets for larger
-tables, at more tables and probes for the same recall; the defaults find over nine in ten of the 20 nearest even where
-neighbours are hardly closer than other rows.
+(those of all slots hold the best k of the bucket), and partial lists are merged by query in two rounds, the first over
+a share of the slots, so that no task gathers them all. Where fewer than k neighbours came back, that query is compared
+with all rows, in blocks that tasks read from a stored table. :func:`sized` chooses hashes, tables and probes by the
+number of rows: more hashes make smaller buckets for larger tables, and need more tables and probes for the same recall,
+over nine in ten of the 20 nearest even where neighbours are hardly closer than other rows.
 
 Null or zero vectors and vectors with null or non-finite components or of another length than most take no part. Rows
-with one id all take part; a query's own id is left out. Ties go to the smaller id.
+with one id all take part; a query's own id is left out. Ties go to the smaller id. Columns but id and vector are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .files import reader
 
-TABLES, HASHES, PROBES, ROUNDS = 10, 1, 8, 3
+ROUNDS = 3
+#: (rows up to, tables, hashes, probes). Buckets number (2 x length) ** hashes.
+SIZES = ((1_000_000, 10, 1, 8), (300_000_000, 32, 2, 48), (None, 96, 3, 160))
 BUCKET_ROWS = 4096
-_BLOCK, _ASKED = 1024, 64
+_ASKED, _ROWS, _PARTS = 64, 4096, 64
+
+
+def sized(rows: int) -> tuple[int, int, int]:
+    """Tables, hashes and probes for so many rows."""
+    return next((t, h, p) for most, t, h, p in SIZES if most is None or rows <= most)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -45,7 +57,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Tables:
     """Pseudo-rotations of all tables for vectors of one length."""
 
-    def __init__(self, dim: int, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 7):
+    def __init__(self, dim: int, tables: int, hashes: int, probes: int, seed: int = 7):
         self.dim, self.tables, self.hashes, self.probes = dim, tables, hashes, probes
         self.size = 1 << max(0, dim - 1).bit_length()
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, hashes, ROUNDS, self.size))
@@ -119,29 +131,32 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-_FOUND = "qid long, vid long, score double"
+_FOUND = "qid long, vid long, score double, part int"
 
 
-def _batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
     q = np.concatenate([np.full(len(v), i) for i, v, _ in rows]) if rows else np.zeros(0, np.int64)
     v = np.concatenate([v for _, v, _ in rows]) if rows else np.zeros(0, np.int64)
     s = np.concatenate([s for _, _, s in rows]) if rows else np.zeros(0)
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["qid", "vid", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64()), pa.array(np.full(len(q), part % _PARTS, np.int32))], ["qid", "vid", "score", "part"])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, vid, score): the best k of each query; lists are cut before they are merged."""
-    best = found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("down"), "vid"))), 1, k).alias("best"))
+    """(qid, rank, vid, score) from (qid, vid, score, part): the best k of each query; of each part first, then of all."""
+    top = lambda rows, by: rows.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("down"), "vid"))), 1, k).alias("best"))
+    some = top(found, ["qid", "part"]).select("qid", F.explode("best").alias("hit"))
+    best = top(some.select("qid", "hit.vid", (-F.col("hit.down")).alias("score")), ["qid"])
     out = best.select("qid", F.posexplode("best").alias("at", "hit"))
     return out.select("qid", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vid").alias("vid"), (-F.col("hit.down")).alias("score"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, hashes: int | None = None, probes: int | None = None) -> DataFrame:
     """(qid, rank, vid, score): up to k nearest rows of ``vectors`` for each row of ``queries``, never the query's own id."""
     spark = vectors.sparkSession
-    C.small_batches(spark, 4096)
     rows, dim = usable(vectors, id_col, vec_col)
     asked = usable(queries, id_col, vec_col)[0].where(F.size("vec") == dim)
+    given, chosen = (tables, hashes, probes), sized(rows.count() if None in (tables, hashes, probes) else 0)
+    tables, hashes, probes = (c if g is None else g for g, c in zip(given, chosen, strict=True))
     shared = spark.sparkContext.broadcast(Tables(dim, tables, hashes, probes))
     n_parts = C.partitions(spark)
 
@@ -161,8 +176,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         return run
 
     kind = "vid long, buckets array<long>, vec array<double>"
-    data = rows.mapInArrow(keys(False), kind)
-    probe = asked.mapInArrow(keys(True), kind)
+    data = C.mapped(rows, keys(False), kind, _ROWS)
+    probe = C.mapped(asked, keys(True), kind, _ROWS)
     sizes = data.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     slots = C.stored(sizes.select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("slots")), "ann-buckets")
     asked_rows = probe.select("vid", "vec", F.explode("buckets").alias("bucket")).join(slots, "bucket")
@@ -173,7 +188,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     dealt = asked_rows.unionByName(held).repartition(n_parts, "bucket", "slot").sortWithinPartitions("bucket", "slot", "query", "vid")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, ids, mats = None, [], []
+        slot, ids, mats, part = None, [], [], TaskContext.get().partitionId()
         for b in batches:
             bucket, s, query = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             vid, x = b.column(3).to_numpy(), _matrix(b.column(4), dim)
@@ -197,48 +212,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
                             best = _best(row, ids[0], k)
                             best = best[row[best] > -np.inf]
                             out.append((q, ids[0][best], row[best]))
-            yield _batch(out)
+            yield _batch(out, part)
 
-    found = dealt.mapInArrow(meet, _FOUND)
+    found = C.mapped(dealt, meet, _FOUND, _ROWS)
     # partial lists of one query come from many slots: equal pairs are dropped, then the k best of each are kept
-    ranked = C.stored(_ranked(found, k), "ann-found")
+    ranked = C.stored(_ranked(found, k), "ann-found", rows=_ROWS)
     short = asked.join(ranked.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k), F.col("vid") == F.col("qid"), "left_anti")
-    return ranked.join(short.select(F.col("vid").alias("qid")).distinct(), "qid", "left_anti").unionByName(exact(rows, C.stored(short, "ann-short"), dim, k))
+    short = C.stored(short.select("vid", "vec"), "ann-short")
+    if short.isEmpty():
+        return ranked
+    return ranked.join(short.select(F.col("vid").alias("qid")).distinct(), "qid", "left_anti").unionByName(exact(rows, short, dim, k))
 
 
 def exact(rows: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
-    """The k nearest by comparing each query with all rows, in blocks of queries. Rows stay where they are."""
-    spark = rows.sparkSession
-    found = None
-    block: list[tuple[int, list[float]]] = []
+    """The k nearest by comparing each query with all rows, in one pass over these: each batch of rows meets the queries in
+    blocks, read from their table (stored: its files are open to all tasks)."""
+    files = asked.inputFiles()
 
-    def compare(block: list[tuple[int, list[float]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in block]), np.array([v for _, v in block])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            vid, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+            for name in files:
+                with reader(name) as f:
+                    for block in pq.ParquetFile(f).iter_batches(_ASKED, columns=["vid", "vec"]):
+                        out, q = [], block.column(0).to_numpy()
+                        for i, row in zip(q, exact_scores(_matrix(block.column(1), dim), x), strict=True):
+                            row = np.where(vid == i, -np.inf, row)
+                            best = _best(row, vid, k)
+                            best = best[row[best] > -np.inf]
+                            out.append((i, vid[best], row[best]))
+                        yield _batch(out, part)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            for b in batches:
-                vid = b.column(0).to_numpy()
-                x, out = _matrix(b.column(1), dim), []
-                for p in range(0, len(qid), _ASKED):
-                    for i, row in zip(qid[p : p + _ASKED], exact_scores(q[p : p + _ASKED], x), strict=True):
-                        row = np.where(vid == i, -np.inf, row)
-                        best = _best(row, vid, k)
-                        best = best[row[best] > -np.inf]
-                        out.append((i, vid[best], row[best]))
-                yield _batch(out)
-
-        return rows.mapInArrow(run, _FOUND)
-
-    for r in asked.toLocalIterator():
-        block.append((r["vid"], r["vec"]))
-        if len(block) == _BLOCK:
-            part = compare(block)
-            found, block = part if found is None else found.unionByName(part), []
-    if block:
-        part = compare(block)
-        found = part if found is None else found.unionByName(part)
-    return _ranked(found if found is not None else spark.createDataFrame([], _FOUND), k)
+    return _ranked(C.mapped(rows, run, _FOUND, _ROWS), k)
 
 
 QUERY_EVERY, NEIGHBOURS = 20, 20

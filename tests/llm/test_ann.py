@@ -50,6 +50,26 @@ def test_recall_and_scores(spark, monkeypatch):
         assert all(abs(s - float(index[q] @ index[i])) < 1e-9 for i, s in near)
 
 
+def test_recall_with_two_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SIZES", ((100, 10, 1, 8), (None, 32, 2, 48)))
+    assert ann.sized(100) == (10, 1, 8) and ann.sized(101) == (32, 2, 48)
+    rows = sample()
+    v = spark.createDataFrame(rows, SCHEMA)
+    found, want = got(ann.search(v, v.where(F.col("vec_id") % 100 == 0), 20)), brute(rows, 100, 20)
+    assert set(found) == set(want)
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.9
+
+
+def test_exact_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "_ROWS", 37)
+    rows = sample(1000)
+    v = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    usable, dim = ann.usable(v, "vec_id", "embedding")
+    asked = ann.C.stored(usable.where("vid % 20 = 0"), "asked")
+    found, want = got(ann.exact(usable, asked, dim, 20)), brute(rows, 20, 20)
+    assert {q: [i for i, _ in x] for q, x in found.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
 def test_few_rows_are_all_found(spark):
     rows = [(i, [float(i + 1), 1.0, float(i % 3)], 0) for i in range(12)]
     v = spark.createDataFrame(rows, SCHEMA)
