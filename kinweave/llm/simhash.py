@@ -45,37 +45,41 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(lo, hi, strict=True)], repeat(SEED)), np.uint64, len(hi))
 
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Of (n, words) hashes, the words whose bits are set in over half of the rows."""
+    size = 8 * hashes.shape[1]
+    count = np.zeros((size, 256))
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).astype("<u8").view(np.uint8).reshape(-1, size)
+        count += np.bincount((part + np.arange(0, 256 * size, 256)).ravel(), minlength=256 * size).reshape(size, 256)
+    return np.packbits((2 * (count @ _BITS) > len(hashes)).ravel(), bitorder="little").view("<u8")
 
 
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is set if over half of the hashes have it."""
-    count = np.zeros((8, 256), np.int64)
-    for at in range(0, len(hashes), 1 << 20):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 20)]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        count += np.bincount((part + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
-    return int(np.packbits((2 * (count @ _BITS) > len(hashes)).ravel(), bitorder="little").view("<u8")[0])
+    return int(_majority(hashes[:, None])[0])
 
 
 def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
-    out = np.zeros(words, np.uint64)
-    for i in range(words):
-        out[i] = fingerprint(hashes)
-        with np.errstate(over="ignore"):
-            hashes = C.mix64(hashes + np.uint64(0x9E3779B97F4A7C15))
-    return out
+    """``fingerprint`` of the hashes, then of others made from them."""
+    with np.errstate(over="ignore"):
+        more = C.mix64(hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more[:, 0] = hashes
+    return _majority(more).astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(did, fp): one row per input row."""
-    C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(shingle_hashes(t.lower().split(), shingle)) for t in C.texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), C.signed(np.array(fp, np.uint64))], ["did", "fp"])
 
-    return C.keyed(docs, id_col, text_col).select("did", "text").mapInArrow(run, "did long, fp long")
+    return C.mapped(C.keyed(docs, id_col, text_col).select("did", "text"), run, "did long, fp long")
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,10 +96,11 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarray | None = None, wide_radius: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside x (y None) or between x and y, as indexes into x followed by y.
 
-    With ``wide``, the wide fingerprints of both in that order, links also need a wide distance of wide_radius at most.
+    With ``wide``, the wide fingerprints of both in that order, links also need distances of wide_radius at most, in the
+    first two words and in all.
     """
     same = y is None
     y = x if same else y
@@ -117,8 +122,11 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarra
                 r, c = np.divmod(hit, near.shape[1])
                 r, c = r + i, c + j + shift
                 if wide is not None:
+                    far = np.bitwise_count(wide[r, :2] ^ wide[c, :2]).sum(axis=1)
+                    r, c = r[far <= wide_radius[0]], c[far <= wide_radius[0]]
+                if wide is not None and len(r):
                     far = np.concatenate([np.bitwise_count(wide[r[k : k + 65536]] ^ wide[c[k : k + 65536]]).sum(axis=1) for k in range(0, len(r), 65536)])
-                    r, c = r[far <= wide_radius], c[far <= wide_radius]
+                    r, c = r[far <= wide_radius[1]], c[far <= wide_radius[1]]
                 a.append(r)
                 b.append(c)
                 held += len(r)
@@ -153,10 +161,10 @@ def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
     return dealt.groupBy("lo", "hi").agg(*[F.first(F.when(side, F.col("tile")), ignorenulls=True).alias(name) for name, side in (("x", first), ("y", second))])
 
 
-def links(reps: DataFrame, radius: int, wide_radius: int = 0) -> DataFrame:
+def links(reps: DataFrame, radius: int, wide_radius: tuple[int, int] = (0, 0)) -> DataFrame:
     """(a, b): representatives whose fingerprints differ in at most ``radius`` bits, reduced to spanning forests.
 
-    reps: (fp, rep), and for similarity (fp, rep, wide).
+    reps: (fp, rep), and for similarity (fp, rep, wide). A pair of tiles is a row of some megabytes: they travel one by one.
     """
     has_wide = "wide" in reps.columns
 
@@ -172,18 +180,19 @@ def links(reps: DataFrame, radius: int, wide_radius: int = 0) -> DataFrame:
                 node, to = tile_links(fp[0], fp[1], radius, wide, wide_radius)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[node]), pa.array(rep[to])], ["a", "b"])
 
-    return tile_pairs(reps, radius).select("x", "y").mapInArrow(run, "a long, b long")
+    return C.stored(C.mapped(tile_pairs(reps, radius).select("x", "y"), run, "a long, b long", 1), "tile-links", rows=1)
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(did, fp, component) for (did, fp); component is the smallest id reachable over links, itself included."""
-    C.small_batches(prints.sparkSession, 1)
     prints = C.stored(prints, "fingerprints")
-    reps = C.stored(prints.groupBy("fp").agg(F.min("did").alias("rep")), "representatives")
-    found = C.connected_components(links(reps, radius), "simhash")
-    C.small_batches(prints.sparkSession)
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(classes, "fp").select("did", "fp", "component")
+    reps = C.stored(prints.groupBy("fp").agg(F.min("did").alias("low"), F.count("*").alias("n")), "representatives")
+    # fingerprints are the nodes: ids may be null or stand twice
+    found = C.connected_components(links(reps.select("fp", F.col("fp").alias("rep")), radius), "simhash")
+    linked = reps.join(found, reps.fp == found.node, "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("class"))
+    lows = linked.groupBy("class").agg(F.min("low").alias("component"))
+    classes = C.stored(linked.join(lows, "class").select("fp", "component", "n"), "classes")
+    return C.joined(prints, classes, ["fp"], "n").select("did", "fp", "component")
 
 
 # --- near copies by similarity -------------------------------------------------------------------
@@ -210,20 +219,18 @@ def _head(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
-def _few_links(prints: DataFrame, similarity: float) -> DataFrame:
+def _few_links(nodes: DataFrame) -> DataFrame:
     """(a, b): candidates among sets of which one may have under ``FEW`` shingles; each meets the smallest that shares a first hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            heads = [x[: _head(len(x), similarity)] for x in sets]
-            rep = np.repeat(b.column(0).to_numpy(), [len(x) for x in heads])
-            yield pa.RecordBatch.from_arrays([pa.array(rep), C.signed(np.concatenate([np.zeros(0, np.uint64), *heads]))], ["rep", "hash"])
+            heads = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in heads])
+            yield pa.RecordBatch.from_arrays([pa.array(node), C.signed(np.concatenate([np.zeros(0, np.uint64), *heads]))], ["node", "hash"])
 
-    few = prints.where(F.length("shingles") < int(np.ceil(8 * FEW / similarity)) + 8).select("rep", "shingles")
-    found = few.mapInArrow(run, "rep long, hash long").distinct()
-    low = found.groupBy("hash").agg(F.min("rep").alias("b"))
-    return found.join(low, "hash").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    found = C.stored(C.mapped(nodes.where("heads is not null").select("node", "heads"), run, "node long, hash long").distinct(), "first-hashes")
+    low = C.stored(found.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "first-hash-groups")
+    return C.joined(found, low, ["hash"], "n").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def verified_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -259,75 +266,115 @@ def verified_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def _verify(spark: SparkSession, members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links of (component, rep, shingles) inside the components."""
+#: Bytes of shingle sets that one task compares at a time; larger groups of candidates are cut into blocks that meet in pairs.
+GROUP_BYTES = 16 << 20
+
+
+def _verified(sets: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links inside components. sets: (s1, s2, shingles), a text perhaps repeated; near: (component, node, s1, s2, n)."""
+    size = near.groupBy("component").agg(F.ceil(F.sum("n") * 8 / GROUP_BYTES).cast("int").alias("blocks"), F.count("*").alias("members"))
+    large = C.stored(size.where("blocks > 1"), "near-large")
+    dealt = C.joined(near, large, ["component"], "members", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    dealt = dealt.select("component", "node", "s1", "s2", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = dealt.join(sets, ["s1", "s2"]).select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
+    group = ["component", "lo", "hi"]
+    dealt = members.repartition(C.partitions(near.sparkSession), *group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        last = None
+
         def found() -> pa.RecordBatch:
-            pairs = np.array(verified_links(sets, similarity), np.int64).reshape(-1, 2)
-            rep = np.array(reps, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["a", "b"])
+            node = np.array(list(held), np.int64)
+            pairs = np.array(verified_links(list(held.values()), similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
 
-        reps, sets, last = [], [], None
         for b in batches:
-            for c, rep, x in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                if c != last and sets:
+            for *group, node, x in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if group != last and held:
                     yield found()
-                    reps, sets = [], []
-                last = c
-                reps.append(rep)
-                sets.append(np.frombuffer(x, np.uint64))
-        if sets:
+                    held = {}
+                last = group
+                held[node] = np.frombuffer(x, np.uint64)
+        if held:
             yield found()
 
-    dealt = members.repartition(C.partitions(spark), "component").sortWithinPartitions("component")
-    return dealt.select("component", "rep", "shingles").mapInArrow(run, "a long, b long")
+    return C.mapped(dealt, run, "a long, b long")
+
+
+def _text_ids(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """Texts of a batch, and their 128-bit digests as (n, 2)."""
+    texts = list(C.texts_of(b, "text"))
+    return texts, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.uint64).reshape(-1, 2)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row, that of the smallest id, of each group linked by near copies; ties go to the smaller text hash."""
+    """``docs`` with one row, that of the smallest id, of each group linked by near copies; ties go to the smaller text digest."""
     spark = docs.sparkSession
-    C.small_batches(spark)
-    rows = C.keyed(docs, id_col, text_col)
+    rows = C.keyed(docs, id_col, text_col).select("did", "text")
+    few = int(np.ceil(FEW / similarity)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide, seq, sets = [], [], []
-            for t in C.texts_of(b, "text"):
-                sets.append(np.unique(shingle_hashes(t.lower().split(), shingle)))
-                wide.append(wide_fingerprint(sets[-1], WORDS))
-                seq.append(xxhash.xxh3_64_intdigest(t))
+            texts, ids = _text_ids(b)
+            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)) for t in texts]
+            wide = [wide_fingerprint(x, WORDS) for x in sets]
             first = np.array([w[0] for w in wide], np.uint64)
-            rep = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64)
+            heads = [x[: _head(len(x), similarity)].tobytes() if len(x) < few else None for x in sets]
+            rep = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), C.signed(np.array(seq, np.uint64)), C.signed(first), C.signed(rep), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["did", "seq", "fp", "rep", "wide", "shingles"],
+                [b.column(0), C.signed(ids[:, 0]), C.signed(ids[:, 1]), C.signed(first), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(rep, pa.binary()), pa.array(heads, pa.binary()), pa.array([len(x) for x in sets], pa.int64())],
+                ["did", "s1", "s2", "fp", "wide", "rep", "heads", "n"],
             )
 
-    prints = C.stored(rows.select("did", "text").mapInArrow(run, "did long, seq long, fp long, rep long, wide binary, shingles binary"), "wide-prints")
-    # equal shingle sets are one node, named by a hash of the set
-    nodes = C.stored(prints.groupBy("fp", "wide", "rep").agg(F.min(F.struct("did", "seq")).alias("low")), "wide-nodes")
-    C.small_batches(spark, 1)
-    close = links(nodes.select("fp", "rep", "wide"), reach_of(similarity, 64, FIRST_SPREAD), reach_of(similarity, 64 * WORDS, SPREAD))
-    near = C.connected_components(close.union(_few_links(prints, similarity)), "near-candidates")
-    near = near.select("node", "component").union(near.select("component", "component")).distinct().join(nodes.select(F.col("rep").alias("node"), "low.did", "low.seq"), "node")
-    members = near.join(prints.select("did", "seq", "shingles"), ["did", "seq"]).groupBy("component", F.col("node").alias("rep")).agg(F.first("shingles").alias("shingles"))
-    C.small_batches(spark)
-    found = C.connected_components(_verify(spark, members, similarity), "near-copies")
-    classes = nodes.join(found, nodes.rep == found.node, "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("low").alias("low"))
-    kept = C.stored(classes.select("low.did", "low.seq").distinct(), "kept")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with C.cleaned(spark, "near-lost"):
+        prints = C.stored(C.mapped(rows, run, "did long, s1 long, s2 long, fp long, wide binary, rep binary, heads binary, n long"), "wide-prints")
+        # equal shingle sets are one node
+        nodes = prints.groupBy("fp", "wide", "rep").agg(F.min(F.struct("did", "s1", "s2")).alias("low"), F.first("heads").alias("heads"), F.first("n").alias("n"))
+        nodes = C.stored(nodes.drop("rep").withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
+        close = links(nodes.select("fp", F.col("node").alias("rep"), "wide"), reach_of(similarity, 64, FIRST_SPREAD), (reach_of(similarity, 128, SPREAD), reach_of(similarity, 64 * WORDS, SPREAD)))
+        found = C.connected_components(close.union(_few_links(nodes)), "near-candidates")
+        found = found.select("node", "component").union(found.select("component", "component")).distinct()
+        near = C.stored(found.join(nodes, "node").select("component", "node", "low.s1", "low.s2", "n"), "near-members")
+        members = spark.sparkContext.broadcast(C.bit_filter(near.select("s1"), "s1"))
+
+        def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # a task sends one of the copies of a text
+            for b in batches:
+                texts, ids = _text_ids(b)
+                flag = C.in_filter(members.value, ids[:, 0])
+                at = []
+                for i in np.flatnonzero(flag).tolist():
+                    own = int(ids[i, 0]) << 64 | int(ids[i, 1])
+                    if own not in seen:
+                        seen.add(own)
+                        at.append(i)
+                sets = [np.unique(shingle_hashes(texts[i].lower().split(), shingle)).tobytes() for i in at]
+                yield pa.RecordBatch.from_arrays([C.signed(ids[at, 0]), C.signed(ids[at, 1]), pa.array(sets, pa.binary())], ["s1", "s2", "shingles"])
+
+        sets = C.mapped(rows.select("text"), set_rows, "s1 long, s2 long, shingles binary")
+        found = C.connected_components(C.stored(_verified(sets, near, similarity), "near-links"), "near-copies")
+        classes = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("low").alias("low"))
+        kept = classes.select("low.did", "low.s1", "low.s2", F.lit(True).alias("kept"))
+        # rows that go, and rows that stand twice; all others need no decision
+        lost = prints.groupBy("did", "s1", "s2").agg(F.count("*").alias("n")).join(kept, ["did", "s1", "s2"], "left").where("kept is null or n > 1")
+        lost = C.stored(lost.select("did", "s1", "s2", "kept"), "near-lost")
+    doubtful = spark.sparkContext.broadcast(C.bit_filter(lost.select("s1"), "s1"))
+    packed = docs.select(C.whole_row(docs).alias("row"))
+    at = docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq = np.array([xxhash.xxh3_64_intdigest(t) for t in C.texts_of(b, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), C.signed(seq), b.column(1)], ["did", "seq", "row"])
-
-    C.small_batches(spark)
-    whole = C.whole_row(docs)
-    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID))
-    packed = docs.select(did.alias("did"), whole.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keyed = packed.mapInArrow(hashed, C.fields("did long, seq long", ("row", packed.schema["row"].dataType)))
-    return keyed.join(kept, ["did", "seq"], "left_semi").dropDuplicates(["did", "seq"]).select("row.*")
+            ids = _text_ids(pa.RecordBatch.from_arrays([b.column(0).field(at)], ["text"]))[1]
+            doubt = C.in_filter(doubtful.value, ids[:, 0])
+            yield pa.RecordBatch.from_arrays([C.signed(ids[:, 0]), C.signed(ids[:, 1]), pa.array(doubt), b.column(0)], ["s1", "s2", "doubt", "row"])
+
+    sifted = C.stored(C.mapped(packed, sift, C.fields("s1 long, s2 long, doubt boolean", ("row", packed.schema["row"].dataType))), "near-sifted")
+    did = F.coalesce(F.col("row")[id_col].cast("long"), F.lit(C.NULL_ID))
+    decided = sifted.where("doubt").withColumn("did", did).join(lost.withColumn("listed", F.lit(True)), ["did", "s1", "s2"], "left").where("listed is null or kept")
+    once = decided.where("listed is null").select("row").unionByName(decided.where("listed").dropDuplicates(["did", "s1", "s2"]).select("row"))
+    return sifted.where("not doubt").select("row").unionByName(once).select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
