@@ -59,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, path = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = common.scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        before, path = path, common.scratch(spark, f"stage-{name}")
+        with common.cleaned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.release(spark, [before])
     return docs
