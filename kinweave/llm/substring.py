@@ -3,9 +3,10 @@
 A window is ``window`` consecutive words. Positions whose residue modulo ``period`` lies in a difference
 cover carry an anchor, the hash of ``window - period + 1`` words: for any two positions there is a shift below
 the period that brings both onto cover positions, so two equal windows always share an aligned anchor. Anchors
-found in different word sequences go into a bit filter of fixed size; windows that hold such an anchor are
-compared in whole, by 128-bit hash, against all others. Copies of a whole word sequence are one member of every
-comparison, whatever their number: they meet by sequence hash.
+found in different word sequences go into a bit filter of fixed size; texts without any are done in that pass. An
+anchor of the filter extends to the windows that hold it, and these are compared in whole, by 128-bit hash, against
+all others. Copies of a whole word sequence meet by its 128-bit digest; a task takes windows of a copy only where no
+copy of smaller id came before in it.
 
 Null text: no words. Null id: after every other id; two rows with one id never remove from each other. Texts
 under a window stay whole. An empty table gives an empty result. Extra columns come back in ``rest``.
@@ -20,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,41 +49,56 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def window_hash(h: np.ndarray, at: np.ndarray, length: int, r: np.uint64) -> np.ndarray:
+def anchor_hash(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(length):
-            out = out * r + h[at + j]
+            out = out * _R1 + h[at + j]
     return C.mix64(out)
 
 
+def window_hashes(h: np.ndarray, length: int, r: np.uint64) -> np.ndarray:
+    """A hash of the ``length`` words at each position, by doubling."""
+    n = 1
+    with np.errstate(over="ignore"):
+        while n < length:
+            more = min(n, length - n)
+            h = C.mix64(h[: len(h) - more] * r + h[more:])
+            n += more
+    return h
+
+
 class _Scan:
-    """Anchors and windows of one document."""
+    """Anchors and windows of the texts of a batch."""
 
     def __init__(self, window: int, period: int):
         assert 0 < period <= window
         self.window, self.period, self.anchor = window, period, window - period + 1
-        self.cover = np.array(difference_cover(period), np.int64)
+        self.cover = np.zeros(period, bool)
+        self.cover[list(difference_cover(period))] = True
 
-    def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        last = len(h) - self.anchor
-        at = (np.arange(0, last + 1, self.period)[:, None] + self.cover).ravel()
-        at = at[at <= last]
-        return at, window_hash(h, at, self.anchor, _R1)
+    def anchors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, position, key) of the anchors of texts of a window or more."""
+        size = np.array([len(t) for t in texts], np.int64)
+        size[size < self.window] = 0
+        h = word_hashes([w for t, n in zip(texts, size, strict=True) if n for w in t])
+        ends = np.cumsum(size)
+        row = np.repeat(np.arange(len(texts)), size)
+        pos = np.arange(len(h)) - (ends - size)[row]
+        at = np.flatnonzero(self.cover[pos % self.period] & (pos + self.anchor <= size[row]))
+        return row[at], pos[at], anchor_hash(h, at, self.anchor)
 
-    def candidates(self, h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold an anchor of the filter."""
-        n = len(h) - self.window + 1
-        at, key = self.anchors(h)
-        at = at[C.in_filter(bitmap, key)]
-        mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, np.maximum(at - self.period + 1, 0), 1)
-        np.add.at(mark, np.minimum(at + 1, n), -1)
-        return np.flatnonzero(np.cumsum(mark[:n]) > 0)
+    def ranges(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[start, end) of the starts of windows that hold an anchor at one of the ascending positions, of a text of n words."""
+        lo, hi = np.maximum(at - self.period + 1, 0), np.minimum(at + 1, n - self.window + 1)
+        lo, hi = lo[lo < hi], hi[lo < hi]
+        new = lo[1:] > hi[:-1]
+        return lo[np.r_[True, new][: len(lo)]], hi[np.r_[new, True][: len(hi)]]
 
 
-def _sequence(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words))
+def _sequences(texts: list[list[bytes]]) -> np.ndarray:
+    """(n, 2): 128-bit digests of word sequences."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(w)) for w in texts]), np.uint64).reshape(-1, 2)
 
 
 Emit = Callable[[pa.RecordBatch, list[bytes], list[list[dict[str, int]]]], pa.RecordBatch]
@@ -93,7 +110,6 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``emit`` makes other columns (``fields``) of a batch (did, text, rest), its texts and their spans, in the same pass.
     """
     spark: SparkSession = docs.sparkSession
-    C.small_batches(spark)
     rows, scan = C.keyed(docs, id_col, text_col), _Scan(window, period)
     rest = rows.schema["rest"].dataType
     if emit is None:
@@ -102,62 +118,78 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], names=[*b.schema.names, "spans"])
 
+    fields = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
+
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, tags = [], []
-            for did, text in zip(b.column(0).to_pylist(), C.texts_of(b, "text"), strict=True):
-                words = text.split()
-                if len(words) >= window:
-                    seq = np.uint64(_sequence(words))
-                    key = scan.anchors(word_hashes(words))[1]
-                    keys += [key, [seq ^ _COPY]]
-                    tags += [np.full(len(key), seq), [np.int64(did).view(np.uint64)]]
-            if keys:
-                yield pa.RecordBatch.from_arrays([C.signed(np.concatenate(keys).astype(np.uint64)), C.signed(np.concatenate(tags).astype(np.uint64))], ["key", "tag"])
-
-    anchors = rows.select("did", "text").mapInArrow(anchor_rows, "key long, tag long")
+            texts = [t.split() for t in C.texts_of(b, "text")]
+            seq = _sequences(texts)[:, 0]
+            row, _, key = scan.anchors(texts)
+            whole = np.flatnonzero([len(t) >= window for t in texts])
+            keys = np.concatenate([key, seq[whole] ^ _COPY])
+            tags = np.concatenate([seq[row], b.column(0).to_numpy()[whole].view(np.uint64)])
+            yield pa.RecordBatch.from_arrays([C.signed(keys), C.signed(tags)], ["key", "tag"])
+
+    anchors = C.mapped(rows.select("did", "text"), anchor_rows, "key long, tag long")
     hot = anchors.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
     bitmap = spark.sparkContext.broadcast(C.bit_filter(hot, "key", filter_bits))
 
-    def sorted_out(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        texts, seqs, flags = list(C.texts_of(b, "text")), [], []
-        for text in texts:
-            words = text.split()
-            seq = np.uint64(_sequence(words))
-            seqs.append(seq)
-            flags.append(len(words) >= window and bool(C.in_filter(bitmap.value, np.array([seq ^ _COPY]))[0] or len(scan.candidates(word_hashes(words), bitmap.value))))
-        return texts, np.array(seqs, np.uint64), np.array(flags, bool)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without an anchor of the filter are done (``out``); of the others the windows' starts are kept as ranges."""
+        base = TaskContext.get().partitionId() << 40
         for b in batches:
-            _, seqs, flags = sorted_out(b)
-            yield pa.RecordBatch.from_arrays([*b.columns, C.signed(seqs)], names=[*b.schema.names, "seq"]).filter(pa.array(flags))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, _, flags = sorted_out(b)
-            texts = [t for t, f in zip(texts, flags, strict=True) if not f]
-            yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
-
-    hits = C.stored(rows.mapInArrow(candidates, C.fields("did long, text string", ("rest", rest), "seq long")), "repeats")
+            raw = list(C.texts_of(b, "text"))
+            texts = [t.split() for t in raw]
+            seq = _sequences(texts)
+            row, pos, key = scan.anchors(texts)
+            k = C.in_filter(bitmap.value, key)
+            row, pos = row[k], pos[k]
+            flag = C.in_filter(bitmap.value, seq[:, 0] ^ _COPY) & np.array([len(t) >= window for t in texts])
+            flag[row] = True
+            clean, hit = np.flatnonzero(~flag), np.flatnonzero(flag)
+            cut = np.searchsorted(row, [*hit, len(texts)])
+            found = [scan.ranges(len(texts[i]), pos[a:z]) for i, a, z in zip(hit.tolist(), cut[:-1], cut[1:], strict=True)]
+            done = emit(b.take(pa.array(clean)), [raw[i] for i in clean], [[] for _ in clean])
+            done = pa.StructArray.from_arrays(done.columns, names=done.schema.names)
+            none = np.zeros(0, np.int64)
+            ranges = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *[x[i] for x in found]]).astype(np.int32)) for i in (0, 1)], names=["start", "end"])
+            ends = np.cumsum([0, *[len(x) for x, _ in found]])
+            own = [pa.array(base + np.arange(len(hit))), C.signed(seq[hit, 0]), C.signed(seq[hit, 1]), *b.take(pa.array(hit)).columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ranges), pa.nulls(len(hit), done.type)]
+            names = ["u", "s1", "s2", *b.schema.names, "ranges", "out"]
+            base += len(hit)
+            yield pa.RecordBatch.from_arrays(own, names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(clean), x.type) for x in own[:-1]], done], names)
+
+    kinds = C.fields("u long, s1 long, s2 long, did long, text string", ("rest", rest), "ranges array<struct<start:int,end:int>>", ("out", fields))
+    sorted_out = C.stored(C.mapped(rows, sort_out, kinds), "repeats")
+    hits = sorted_out.where("u is not null")
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, int], int] = {}  # the smallest id that the task met of each word sequence
         for b in batches:
-            for did, seq, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.texts_of(b, "text"), strict=True):
-                h = word_hashes(text.split())
-                at = scan.candidates(h, bitmap.value)
-                for part in np.array_split(at, len(at) // 100_000 + 1):
-                    yield pa.RecordBatch.from_arrays([C.signed(window_hash(h, part, window, _R1)), C.signed(window_hash(C.mix64(h), part, window, _R2)), pa.array(np.full(len(part), did)), pa.array(np.full(len(part), seq)), pa.array(part.astype(np.int32))], ["w1", "w2", "did", "seq", "at"])
-
-    windows = hits.select("did", "seq", "text").mapInArrow(window_rows, "w1 long, w2 long, did long, seq long, at int")
+            cols = [b.column(i).to_pylist() for i in range(4)] + [b.column(5).to_pylist()]
+            for u, did, s1, s2, ranges, text in zip(*cols, C.texts_of(b, "text"), strict=True):
+                if least.setdefault((s1, s2), did) < did:
+                    continue
+                least[s1, s2] = did
+                words = text.split()
+                for r in ranges:
+                    for start in range(r["start"], r["end"], 50_000):
+                        at = np.arange(start, min(r["end"], start + 50_000), dtype=np.int32)
+                        h = word_hashes(words[start : start + len(at) + window - 1])
+                        w1, w2 = window_hashes(h, window, _R1), window_hashes(C.mix64(h), window, _R2)
+                        yield pa.RecordBatch.from_arrays([C.signed(w1), C.signed(w2), pa.array(np.full(len(at), did)), pa.array(np.full(len(at), u)), pa.array(at)], ["w1", "w2", "did", "u", "at"])
+
+    windows = C.mapped(hits.select("u", "did", "s1", "s2", "text", "ranges"), window_rows, "w1 long, w2 long, did long, u long, at int")
     first = windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
     # stored, so that the join deals both sides anew and Spark can split a window that very many documents hold
     first = C.stored(first, "repeated-windows")
-    late = windows.join(first, ["w1", "w2"]).where("did > first").groupBy("did", "seq").agg(F.collect_set("at").alias("at"))
-    copies = hits.groupBy("seq").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
-    whole = hits.select("did", "seq").join(copies, "seq").where("did > first").select("did", "seq").distinct().withColumn("whole", F.lit(True))
+    late = windows.join(first, ["w1", "w2"]).where("did > first").groupBy("u").agg(F.collect_set("at").alias("at"))
+    copies = hits.groupBy("s1", "s2").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    copies = C.stored(copies, "repeated-texts")
+    whole = C.joined(hits.select("u", "did", "s1", "s2"), copies, ["s1", "s2"], "n").where("did > first").select("u", F.lit(True).alias("whole"))
     # both sides are at most the rows of `hits`
-    found = whole.join(late, ["did", "seq"], "full")
+    found = whole.join(late, "u", "full")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,8 +201,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out.append(merge_spans(np.sort(np.array(at, np.int64)), window) if at else [])
             yield emit(b.select([0, 1, 2]), texts, out)
 
-    resolved = hits.join(found, ["did", "seq"], "left").select("did", "text", "rest", "at", "whole")
-    return rows.mapInArrow(clean, fields).unionByName(resolved.mapInArrow(repeats, fields))
+    resolved = hits.select("u", "did", "text", "rest").join(found, "u", "left").select("did", "text", "rest", "at", "whole")
+    return sorted_out.where("u is null").select("out.*").unionByName(C.stored(C.mapped(resolved, repeats, fields), "repeats-cut"))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
