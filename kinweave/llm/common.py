@@ -136,10 +136,6 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: s
     return left.join(hot, on).unionByName(rest.join(cold, on, how))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

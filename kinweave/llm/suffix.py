@@ -2,10 +2,13 @@
 
 A repeated string of ``length`` bytes has the same smallest ``GRAM``-byte hash wherever it stands, so the string
 starts of a document fall into runs of one smallest hash, and equal strings meet under equal hashes. Hashes seen
-twice go into a bit filter of fixed size. The bytes under each flagged run (its context) are counted as a whole,
-then grouped by hash; there a suffix array over distinct contexts, cut at ``length`` bytes, gives previous and next
-smaller positions and with them longest-previous-factor arrays, forwards and mirrored. Comparison is of bytes,
-never of hashes alone. Copies of a whole text are counted by text hash.
+twice go into a bit filter of fixed size; texts without any are done in that pass. The bytes under each flagged run
+are its context. Contexts that stand twice, by 128-bit digest, are covered whole. Where a hash has several contexts,
+their bytes meet: a suffix array over them, cut at ``length`` bytes, gives previous and next smaller positions and
+with them longest-previous-factor arrays, forwards and mirrored. Starts whose string has a hash of its own there are
+left out before sorting; matches are of bytes. A hash with over ``HOT_CONTEXTS`` contexts, what one task holds, is
+not brought together: its strings are counted one by one by 128-bit digest, so any number of tasks share it.
+Copies of a whole text are counted by 128-bit digest, and a task takes contexts of one copy only.
 
 Texts are UTF-8 bytes; null counts as empty; texts under ``length`` stay whole. Rows are documents, whatever their
 id: two rows with one id are two places. An empty table gives an empty result.
@@ -19,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +30,9 @@ from pyspark.sql import types as T
 from . import common as C
 
 LENGTH, GRAM = 200, 32
-_SEGMENT, _CHUNK = 1 << 18, 1 << 19
+HOT_CONTEXTS = 4096
+_SEGMENT, _CHUNK, _SCAN = 1 << 18, 1 << 18, 1 << 16
+_SEEN = 200_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _COPY, _TWICE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -103,51 +109,83 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.
 # --- runs of one smallest hash -------------------------------------------------------------------
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, last, again): runs of string starts with one smallest hash; again: the hash stands at several places of the text."""
-    parts = [_runs(text[at : at + _SEGMENT + length - 1], length, at) for at in range(0, max(1, len(text) - length + 1), _SEGMENT)]
-    key, first, last, again, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if len(parts) > 1:
-        order = np.lexsort((place, key))
-        k, p = key[order], place[order]
-        apart = (k[1:] == k[:-1]) & (p[1:] != p[:-1])
-        again = np.isin(key, np.r_[key[again], k[1:][apart]])
-    return key, first, last, again
-
-
-def _runs(text: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
-    gram = min(GRAM, length // 2 // 8 * 8)
-    data = np.frombuffer(text, np.uint8)
-    v = _loads(data, "<")
-    n = len(data) - gram + 1
-    with np.errstate(over="ignore"):
-        h = v[:n] * _MULT[0]
-        for j in range(8, gram, 8):
-            h += v[j : n + j] * _MULT[j // 8]
-        h = C.mix64(h)
-    low, width, want = h, 1, length - gram + 1
-    while width < want:
-        more = min(width, want - width)
-        low = np.minimum(low[:-more], low[more:])
-        width += more
-    cut = np.flatnonzero(low[1:] != low[:-1]) + 1
-    first = np.r_[0, cut]
-    key = low[first]
-    small = np.zeros(4096, bool)
-    small[(key & np.uint64(4095)).astype(np.int64)] = True
-    seen = np.sort(h[small[(h & np.uint64(4095)).astype(np.int64)]])
-    again = np.searchsorted(seen, key, "right") - np.searchsorted(seen, key, "left") > 1
-    # only a run at a segment's border can go on in the next one: there the place of the hash tells; the others get numbers of their own
-    place = -1 - (first + shift)
-    for i in (0, -1):
-        place[i] = first[i] + np.argmin(h[first[i] : first[i] + want]) + shift
-    return key, first + shift, np.r_[cut, len(low)] - 1 + shift, again, place
+class Runs:
+    """Runs of string starts with one smallest hash, of several texts: text, key, first and last start, and whether the key stands at several places of the text."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        self.length, self.gram = length, min(GRAM, length // 2 // 8 * 8)
+        parts, held, size = [], [], 0
+        for row, text in enumerate(texts):
+            for at in range(0, len(text) - length + 1, _SEGMENT):
+                piece = text[at : at + _SEGMENT + length - 1]
+                held.append((row, at, piece))
+                size += len(piece)
+                if size >= _SCAN:
+                    parts.append(self._scan(held))
+                    held, size = [], 0
+        if held:
+            parts.append(self._scan(held))
+        none = np.zeros(0, np.int64)
+        cols = zip(*parts, strict=True) if parts else [[none], [none.astype(np.uint64)], [none], [none], [none.astype(bool)]]
+        self.row, self.key, self.first, self.last, self.again = (np.concatenate(x) for x in cols)
+        # one row for each key of a text; runs of one key in different places count as several
+        order = np.lexsort((self.key, self.row))
+        new = np.r_[True, (self.key[order][1:] != self.key[order][:-1]) | (self.row[order][1:] != self.row[order][:-1])][: len(order)]
+        group = np.cumsum(new) - 1
+        many = np.bincount(group) > 1 if len(group) else np.zeros(0, bool)
+        np.logical_or.at(many, group, self.again[order])
+        self.again[order] = many[group]
+        self.distinct = order[new]
+
+    def _scan(self, pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        length, gram = self.length, self.gram
+        size = np.array([len(p) for _, _, p in pieces])
+        ends = np.cumsum(size)
+        begins = ends - size
+        v = _loads(np.frombuffer(b"".join([p for _, _, p in pieces]), np.uint8), "<").copy()
+        n = int(ends[-1]) - gram + 1
+        with np.errstate(over="ignore"):
+            h = v[:n] * _MULT[0]
+            for j in range(8, gram, 8):
+                h += v[j : n + j] * _MULT[j // 8]
+            h = C.mix64(h)
+        low, width, want = h, 1, length - gram + 1
+        while width < want:
+            more = min(width, want - width)
+            low = np.minimum(low[:-more], low[more:])
+            width += more
+        count = size - length + 1
+        piece = np.repeat(np.arange(len(pieces)), count)
+        at = np.arange(len(piece)) + (begins - (np.cumsum(count) - count))[piece]
+        low = low[at]
+        first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (piece[1:] != piece[:-1])])
+        last = np.r_[first[1:], len(low)] - 1
+        key, own = low[first], piece[first]
+        small = np.zeros(1 << 16, bool)
+        small[(key & np.uint64(0xFFFF)).astype(np.int64)] = True
+        place = np.flatnonzero(small[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        # a hash together with its piece; a chance meeting costs work only
+        with np.errstate(over="ignore"):
+            seen = np.sort(h[place] + np.searchsorted(ends, place, "right").astype(np.uint64) * _MULT[0])
+            mine = key + own.astype(np.uint64) * _MULT[0]
+        again = np.searchsorted(seen, mine, "right") - np.searchsorted(seen, mine, "left") > 1
+        row, shift = np.array([r for r, _, _ in pieces]), np.array([a for _, a, _ in pieces])
+        move = shift[own] - begins[own]
+        return row[own], key, at[first] + move, at[last] + move, again
+
+
+def _digest(parts: list[bytes]) -> np.ndarray:
+    """(n, 2): 128-bit digests."""
+    if not parts:
+        return np.zeros((0, 2), np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
 
 
 # --- the operator --------------------------------------------------------------------------------
 
 
 Emit = Callable[[pa.RecordBatch, list[bytes], list[list[dict[str, int]]]], pa.RecordBatch]
+_SPAN_SQL = "struct<start:bigint,end:bigint>"
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int = C.FILTER_BITS, emit: Emit | None = None, fields: str | T.StructType | None = None) -> DataFrame:
@@ -157,7 +195,6 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     assert length >= 16
     spark: SparkSession = docs.sparkSession
-    C.small_batches(spark)
     rows = C.keyed(docs, id_col, text_col)
     rest = rows.schema["rest"].dataType
     if emit is None:
@@ -166,84 +203,132 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def emit(b: pa.RecordBatch, texts: list[bytes], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPANS)], names=[*b.schema.names, "spans"])
 
+    fields = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
+
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unlike = np.random.default_rng()
         for b in batches:
-            keys, tags = [], []
-            for text in C.texts_of(b, "text"):
-                if len(text) >= length:
-                    seq = np.uint64(xxhash.xxh3_64_intdigest(text))
-                    key, _, _, again = runs(text, length)
-                    key, at = np.unique(key, return_index=True)
-                    twice = key[again[at]]
-                    keys += [key, twice, [seq ^ _COPY]]
-                    tags += [np.full(len(key), seq), np.full(len(twice), seq ^ _TWICE), unlike.integers(0, 2**64, 1, np.uint64)]
-            if keys:
-                yield pa.RecordBatch.from_arrays([C.signed(np.concatenate(keys).astype(np.uint64)), C.signed(np.concatenate(tags).astype(np.uint64))], ["key", "tag"])
-
-    found = rows.select("text").mapInArrow(key_rows, "key long, tag long")
+            texts = list(C.texts_of(b, "text"))
+            r = Runs(texts, length)
+            seq = _digest(texts)[:, 0]
+            whole = np.array([len(t) >= length for t in texts])
+            key, tag = r.key[r.distinct], seq[r.row[r.distinct]]
+            twice = r.again[r.distinct]
+            keys = np.concatenate([key, key[twice], seq[whole] ^ _COPY])
+            tags = np.concatenate([tag, tag[twice] ^ _TWICE, unlike.integers(0, 2**64, int(whole.sum()), np.uint64)])
+            yield pa.RecordBatch.from_arrays([C.signed(keys), C.signed(tags)], ["key", "tag"])
+
+    found = C.mapped(rows.select("text"), key_rows, "key long, tag long")
     hot = found.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key")
     bitmap = spark.sparkContext.broadcast(C.bit_filter(hot, "key", filter_bits))
 
-    def sorted_out(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        texts, seqs, flags = list(C.texts_of(b, "text")), [], []
-        for text in texts:
-            seq = np.uint64(xxhash.xxh3_64_intdigest(text))
-            seqs.append(seq)
-            flags.append(len(text) >= length and bool(C.in_filter(bitmap.value, np.array([seq ^ _COPY]))[0] or C.in_filter(bitmap.value, runs(text, length)[0]).any()))
-        return texts, np.array(seqs, np.uint64), np.array(flags, bool)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a flagged key are done (``out``); of the others the flagged runs are kept."""
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            _, seqs, flags = sorted_out(b)
-            yield pa.RecordBatch.from_arrays([*b.columns, C.signed(seqs)], names=[*b.schema.names, "seq"]).filter(pa.array(flags))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = list(C.texts_of(b, "text"))
+            ids, r = _digest(texts), Runs(texts, length)
+            k = np.flatnonzero(C.in_filter(bitmap.value, r.key))
+            flag = C.in_filter(bitmap.value, ids[:, 0] ^ _COPY) & np.array([len(t) >= length for t in texts])
+            flag[r.row[k]] = True
+            clean, hit = np.flatnonzero(~flag), np.flatnonzero(flag)
+            done = emit(b.take(pa.array(clean)), [texts[i] for i in clean], [[] for _ in clean])
+            done = pa.StructArray.from_arrays(done.columns, names=done.schema.names)
+            k = k[np.argsort(r.row[k], kind="stable")]
+            cut = np.searchsorted(r.row[k], [*hit, len(texts)])
+            kept = pa.StructArray.from_arrays([C.signed(r.key[k]), pa.array(r.first[k]), pa.array(r.last[k]), pa.array(r.again[k])], names=["key", "first", "last", "again"])
+            own = [pa.array(row + np.arange(len(hit))), C.signed(ids[hit, 0]), C.signed(ids[hit, 1]), *b.take(pa.array(hit)).columns, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), kept), pa.nulls(len(hit), done.type)]
+            names = ["u", "s1", "s2", *b.schema.names, "runs", "out"]
+            row += len(hit)
+            yield pa.RecordBatch.from_arrays(own, names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(clean), x.type) for x in own[:-1]], done], names)
+
+    kinds = C.fields("u long, s1 long, s2 long, did long, text string", ("rest", rest), "runs array<struct<key:bigint,first:bigint,last:bigint,again:boolean>>", ("out", fields))
+    sorted_out = C.stored(C.mapped(rows, sort_out, kinds), "byte-repeats", codec="zstd")
+    hits = sorted_out.where("u is not null")
+
+    def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, pa.StructArray]]:
+        """Texts and flagged runs, of copies of one text the first that the task meets: rows, and the row of each run."""
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            texts, _, flags = sorted_out(b)
-            texts = [t for t, f in zip(texts, flags, strict=True) if not f]
-            yield emit(b.filter(pa.array(~flags)), texts, [[] for _ in texts])
-
-    hits = C.stored(rows.mapInArrow(candidates, C.fields("did long, text string", ("rest", rest), "seq long")), "byte-repeats", codec="zstd")
+            s = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            new = []
+            for i, x in enumerate(s):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
+            runs = b.column(4)
+            yield b, list(C.texts_of(b, "text")), np.repeat(np.arange(len(new)), runs.value_lengths().to_numpy()), runs.flatten()
+
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts, row, runs in sources(batches):
+            first, last = (runs.field(c).to_numpy() for c in ("first", "last"))
+            size = last - first + length
+            ids = _digest([texts[i][a : a + n] for i, a, n in zip(row.tolist(), first.tolist(), size.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([runs.field("key"), C.signed(ids[:, 0]), C.signed(ids[:, 1]), pa.array(b.column(0).to_numpy()[row]), pa.array(first), pa.array(size.astype(np.int32)), runs.field("again")], ["key", "c1", "c2", "u", "at", "size", "again"])
+
+    source = hits.select("u", "s1", "s2", "text", "runs")
+    places = C.stored(C.mapped(source, place_rows, "key long, c1 long, c2 long, u long, at long, size int, again boolean"), "byte-places")
+    distinct = C.stored(places.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.max("again").alias("again")), "byte-contexts")
+    span = lambda a, z: F.struct(a.cast("long").alias("start"), z.cast("long").alias("end"))
+    twice = C.joined(places.select("key", "c1", "c2", "u", "at", "size"), distinct.where("n > 1").select("key", "c1", "c2", "n"), ["key", "c1", "c2"], "n")
+    parts = twice.select("u", span(F.col("at"), F.col("at") + F.col("size")).alias("span"))
+
+    # keys whose contexts have to be looked into, and of these the hot ones; a filter says the same of all contexts of a key
+    keys = distinct.groupBy("key").agg(F.count("*").alias("contexts"), F.max("again").alias("again")).where("contexts > 1 or again")
+    keys = C.stored(keys, "byte-keys")
+    too_large = keys.where(F.col("contexts") > HOT_CONTEXTS)
+    hot_keys = None if too_large.isEmpty() else spark.sparkContext.broadcast(C.bit_filter(too_large, "key", filter_bits))
+    is_hot = lambda key: np.zeros(len(key), bool) if hot_keys is None else C.in_filter(hot_keys.value, key.view(np.uint64))
+    wanted = spark.sparkContext.broadcast(C.bit_filter(keys, "key", filter_bits))
 
     def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for did, seq, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.texts_of(b, "text"), strict=True):
-                key, first, last, _ = runs(text, length)
-                k = np.flatnonzero(C.in_filter(bitmap.value, key))
-                context = [text[a : z + length] for a, z in zip(first[k].tolist(), last[k].tolist(), strict=True)]
-                ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in context), np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([C.signed(key[k]), C.signed(ids[:, 0]), C.signed(ids[:, 1]), pa.array(context, pa.binary()), pa.array(np.full(len(k), did)), pa.array(np.full(len(k), seq)), pa.array(first[k])], ["key", "c1", "c2", "context", "did", "seq", "at"])
-
-    contexts = hits.select("did", "seq", "text").mapInArrow(context_rows, "key long, c1 long, c2 long, context binary, did long, seq long, at long")
-    distinct = contexts.groupBy("key", "c1", "c2", "context").agg((F.count("*") > 1).alias("again"))
+        sent: set[bytes] = set()  # of equal contexts of a task one goes, as far as this set reaches
+        for b, texts, row, runs in sources(batches):
+            key, first, last = (runs.field(c).to_numpy() for c in ("key", "first", "last"))
+            k = np.flatnonzero(C.in_filter(wanted.value, key.view(np.uint64)) & ~is_hot(key))
+            out, contexts = [], []
+            for i, a, z in zip(k.tolist(), first[k].tolist(), last[k].tolist(), strict=True):
+                context = texts[row[i]][a : z + length]
+                ident = xxhash.xxh3_128_digest(context)
+                if ident not in sent:
+                    sent.add(ident)
+                    out.append(i)
+                    contexts.append(context)
+            if len(sent) > _SEEN:
+                sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(b.column(0).to_numpy()[row[out]]), pa.array(first[out]), runs.field("again").take(pa.array(out, pa.int64())), pa.array(contexts, pa.binary())], ["key", "u", "at", "again", "context"])
 
     def factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_key(batches):
-            again, context, key = group["again"], group["context"], np.array(group["key"])
-            spans: list[list[dict[str, int]]] = [[{"start": 0, "end": len(x)}] if a else [] for a, x in zip(again, context, strict=True)]
-            new = key[1:] != key[:-1]
-            alone = np.r_[True, new] & np.r_[new, True]
-            # a context that stands twice is covered; it is sorted only for others of its key to meet
-            rows = [i for i in range(len(context)) if not (alone[i] and again[i])]
-            if rows:
-                ends = np.cumsum([len(context[i]) for i in rows])
-                begin = np.r_[0, ends[:-1]]
-                starts = np.concatenate([np.arange(a, z - length + 1) for a, z in zip(begin, ends, strict=True)])
-                earlier, later = longest_factors(np.frombuffer(b"".join([context[i] for i in rows]), np.uint8), starts, length)
-                hit = starts[np.maximum(earlier, later) >= length]
-                for i, a, part in zip(rows, begin, np.split(hit, np.searchsorted(hit, begin[1:])), strict=True):
-                    if len(part) and not again[i]:
-                        spans[i] = merge_spans(part - a, length)
-            keep = [i for i, s in enumerate(spans) if s]
-            yield pa.RecordBatch.from_arrays([pa.array([group[c][i] for i in keep], pa.int64()) for c in ("key", "c1", "c2")] + [pa.array([spans[i] for i in keep], _SPANS)], ["key", "c1", "c2", "spans"])
-
-    together = distinct.repartition(C.partitions(spark), "key").sortWithinPartitions("key")
-    covered = together.select("key", "c1", "c2", "again", "context").mapInArrow(factor_rows, f"key long, c1 long, c2 long, spans {_SPANS_SQL}")
-    places = contexts.select("key", "c1", "c2", "did", "seq", "at").join(covered, ["key", "c1", "c2"])
-    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
-    parts = places.groupBy("did", "seq").agg(F.flatten(F.collect_set(moved)).alias("parts"))
-    whole = hits.groupBy("seq").agg((F.count("*") > 1).alias("whole")).where("whole")
+        for key, u, at, again, context in _by_key(batches):
+            spans = context_spans(key, again, context, length)
+            n = [len(s) for s in spans]
+            flat = [{"start": a + x["start"], "end": a + x["end"]} for a, s in zip(at, spans, strict=True) for x in s]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(u, np.int64), n)), pa.array(flat, _SPANS.value_type)], ["u", "span"])
+
+    met = C.mapped(source, context_rows, "key long, u long, at long, again boolean, context binary")
+    together = met.repartition(C.partitions(spark), "key").sortWithinPartitions("key")
+    parts = parts.unionByName(C.mapped(together, factor_rows, f"u long, span {_SPAN_SQL}", 4096))
+
+    def string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts, row, runs in sources(batches):
+            key, first, last = (runs.field(c).to_numpy() for c in ("key", "first", "last"))
+            u = b.column(0).to_numpy()
+            for i in np.flatnonzero(is_hot(key)).tolist():
+                at = np.arange(first[i], last[i] + 1)
+                ids = _digest([texts[row[i]][a : a + length] for a in at.tolist()])
+                yield pa.RecordBatch.from_arrays([C.signed(ids[:, 0]), C.signed(ids[:, 1]), pa.array(np.full(len(at), u[row[i]])), pa.array(at)], ["h1", "h2", "u", "at"])
+
+    if hot_keys is not None:
+        strings = C.stored(C.mapped(source, string_rows, "h1 long, h2 long, u long, at long"), "byte-strings")
+        met_twice = C.stored(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "byte-strings-twice")
+        found = C.joined(strings, met_twice, ["h1", "h2"], "n")
+        parts = parts.unionByName(found.select("u", span(F.col("at"), F.col("at") + length).alias("span")))
+
+    copies = C.stored(hits.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1"), "byte-copies")
+    whole = C.joined(hits.select("u", "s1", "s2"), copies, ["s1", "s2"], "n").select("u", F.lit(True).alias("whole"))
+    decided = parts.groupBy("u").agg(F.collect_set("span").alias("parts")).join(whole, "u", "full")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,22 +336,73 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = [[{"start": 0, "end": len(t)}] if all_of else join_spans(p or []) for t, p, all_of in zip(texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield emit(b.select([0, 1, 2]), texts, out)
 
-    resolved = hits.join(parts, ["did", "seq"], "left").join(whole, "seq", "left").select("did", "text", "rest", "parts", "whole")
-    return rows.mapInArrow(clean, fields).unionByName(resolved.mapInArrow(repeats, fields))
+    resolved = hits.select("u", "did", "text", "rest").join(decided, "u", "left").select("did", "text", "rest", "parts", "whole")
+    return sorted_out.where("u is null").select("out.*").unionByName(C.stored(C.mapped(resolved, repeats, fields), "byte-repeats-cut"))
+
+
+def context_spans(key: list[int], again: list[bool], context: list[bytes], length: int) -> list[list[dict[str, int]]]:
+    """Spans of each context covered by strings that also stand in another context of its key, or twice in one.
 
+    Rows come by key. Of equal contexts one row stands for all, as their spans are known from their number.
+    """
+    spans: list[list[dict[str, int]]] = [[] for _ in context]
+    first: dict[tuple[int, bytes], int] = {}
+    many: dict[int, int] = {}
+    for i, own in enumerate(zip(key, context, strict=True)):
+        if first.setdefault(own, i) == i:
+            many[own[0]] = many.get(own[0], 0) + 1
+    rows = [i for own, i in first.items() if many[own[0]] > 1 or again[i]]
+    if not rows:
+        return spans
+    data = np.frombuffer(b"".join([context[i] for i in rows]), np.uint8)
+    ends = np.cumsum([len(context[i]) for i in rows])
+    begin = np.r_[0, ends[:-1]]
+    n = ends - begin - length + 1
+    starts = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+    own = np.repeat(np.arange(len(rows)), n)
+    # strings that stand once here, by hash, are in no factor of this length
+    _, at, count = np.unique(_string_hashes(data, length)[starts], return_inverse=True, return_counts=True)
+    live = count[at] > 1
+    starts, own = starts[live], own[live]
+    if not len(starts):
+        return spans
+    # a suffix array of the contexts that are left
+    used, place = np.unique(own, return_inverse=True)
+    size = ends[used] - begin[used]
+    moved = np.cumsum(size) - size
+    kept = np.concatenate([data[begin[i] : ends[i]] for i in used.tolist()])
+    local = starts - begin[used][place] + moved[place]
+    earlier, later = longest_factors(kept, local, length)
+    hit = np.maximum(earlier, later) >= length
+    local, place = local[hit] - moved[place[hit]], place[hit]
+    if len(local):
+        for part in np.split(np.arange(len(local)), np.flatnonzero(np.diff(place)) + 1):
+            spans[rows[used[place[part[0]]]]] = merge_spans(local[part], length)
+    return spans
+
+
+def _string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the string of ``length`` bytes at each position, by doubling."""
+    with np.errstate(over="ignore"):
+        h, n = C.mix64(_loads(data, "<").copy()), 8
+        while n < length:
+            more = min(n, length - n)
+            h = C.mix64(h[:-more] * _MULT[0] + h[more:])
+            n += more
+    return h
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Rows of whole keys, about _CHUNK bytes of contexts together, from rows sorted by key."""
-    names = ["key", "c1", "c2", "again", "context"]
-    held: dict[str, list] = {n: [] for n in names}
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Columns (key, u, at, again, context) of rows of whole keys, about _CHUNK bytes of contexts together, from rows sorted by key."""
+    held: list[list] = [[], [], [], [], []]
     size = 0
     for b in batches:
         for row in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-            if size > _CHUNK and row[0] != held["key"][-1]:
+            if size > _CHUNK and row[0] != held[0][-1]:
                 yield held
-                held, size = {n: [] for n in names}, 0
-            for n, x in zip(names, row, strict=True):
-                held[n].append(x)
+                held, size = [[], [], [], [], []], 0
+            for to, x in zip(held, row, strict=True):
+                to.append(x)
             size += len(row[4])
     if size:
         yield held
@@ -302,8 +438,7 @@ def earlier_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         s = merge_spans(at, length)
                         yield pa.RecordBatch.from_arrays([pa.array([did] * len(s), pa.int64()), pa.array([x["start"] for x in s], pa.int64()), pa.array([x["end"] - x["start"] for x in s], pa.int64())], ["did", "start", "length"])
 
-    C.small_batches(docs.sparkSession)
-    return C.keyed(docs, id_col, text_col).select("did", "text").mapInArrow(run, "did long, start long, length long")
+    return C.mapped(C.keyed(docs, id_col, text_col).select("did", "text"), run, "did long, start long, length long")
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:

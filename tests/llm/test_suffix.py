@@ -50,6 +50,7 @@ def test_matches_brute_force(spark):
     for length, bits in ((200, 28), (40, 4)):
         got = sorted(tuple(x) for x in suffix.digests(docs, length=length, filter_bits=bits).collect())
         assert got == brute(rows, length)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
 def test_long_text_in_segments(spark, monkeypatch):
@@ -75,13 +76,37 @@ def test_flags_over_segments(monkeypatch):
     monkeypatch.setattr(suffix, "_SEGMENT", 300)
     r = random.Random(9)
     own = lambda n: bytes(r.choices(range(97, 123), k=n))
-    assert not suffix.runs(own(3000), 200)[3].any()  # runs cut by a border stand once
     a, passage, b, c = own(310), own(200), own(700), own(1000)
     for text, times in ((a + passage + b + passage + c, 2), (a + passage + b + passage + b"-" + passage + c, 3)):
-        key, first, last, again = suffix.runs(text, 200)
+        runs = suffix.Runs([own(500), text], 200)
         at = [i for i in range(len(text) - 199) if text[i : i + 200] == passage]
         assert len(at) == times
-        assert all(again[(first <= i) & (i <= last)].all() for i in at)
+        for i in at:
+            assert runs.again[(runs.row == 1) & (runs.first <= i) & (i <= runs.last)].all()
+        for row, size in ((0, 500), (1, len(text))):
+            mine = runs.row == row
+            covered = np.concatenate([np.arange(x, y + 1) for x, y in zip(runs.first[mine], runs.last[mine], strict=True)])
+            assert sorted(covered.tolist()) == list(range(size - 199))
+
+
+def test_hot_keys_are_counted_string_by_string(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_CONTEXTS", 3)
+    monkeypatch.setattr(suffix.C, "HEAVY", 1)
+    r = random.Random(5)
+    own = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = own(260)
+    rows = [(i, own(r.randint(0, 300)) + passage + own(r.randint(0, 300))) for i in range(30)] + [(99, rows) for rows in [passage * 3] * 5]
+    for heavy in (1, 1000):
+        monkeypatch.setattr(suffix.C, "HEAVY", heavy)
+        got = sorted(tuple(x) for x in suffix.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == brute(rows, 200)
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(1, "x" * 450, 3, "a"), (2, "short", 4, "b"), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, u long, `key.spans` string")
+    got = sorted(suffix.find_repeats(docs).collect(), key=lambda x: x.did)
+    assert [(x.did, x.text, x.rest["u"], x.rest["key.spans"], [tuple(s) for s in x.spans]) for x in got] == [(1, "x" * 450, 3, "a", [(0, 450)]), (2, "short", 4, "b", []), (3, "", None, None, [])]
 
 
 def test_longest_factors():
