@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.addresses import normalize_addresses
 from ..functions.names import normalize_names
-from ..functions.text import country_key, first_number, is_non_latin, retrieval_tokens
+from ..functions.text import country_key, first_number, is_non_latin, reranker_text, retrieval_tokens
 from ..operators import blocking as B
 from ..operators import decide as D
 from ..operators import features as X
@@ -91,7 +91,7 @@ def train(spark: SparkSession, base: str, s1: DataFrame, index: DataFrame, truth
     second = L.train_folds(L.assembled(of_training_countries(two, cfg), cols), "y", cfg.stage2_folds, cfg)
     p2 = keep("stage2", lambda: L.predict_folds(L.assembled(two, cols), second, "p2").drop("_x"))
     iso = L.calibrate(of_training_countries(p2, cfg).where(F.col("fold").isin(list(cfg.stage2_folds))), "p2", "y")
-    final = decided_scores(L.apply_calibration(p2, iso, "p2", "p"), recs, cfg)
+    final = keep("scores", lambda: decided_scores(L.apply_calibration(p2, iso, "p2", "p"), recs, cfg).select("ckey", "q_id", "i_id", "fold", "p"))
     own = final.where(F.col("fold").isin(list(cfg.stage2_folds)))
     entities = recs.where("side = 'q'").select(F.col("rec_id").alias("q_id"), F.col("country")).withColumn("fold", L.fold_of("q_id"))
     best = D.tune(own, truth, entities.where(F.col("fold").isin(list(cfg.stage2_folds)))).orderBy(F.desc("f05"), "kind", "tau", "gamma", "miss").first()
@@ -138,6 +138,29 @@ def shortlist(scored: DataFrame, least: float = 0.02, limit: int = 4_000_000) ->
     return top_rows(D.one_owner(scored).where(F.col("p") >= least), limit, F.col("p"), ["q_id", "i_id"])
 
 
+def rerank_pairs(scored: DataFrame, recs: DataFrame, least: float = 0.02, limit: int = 4_000_000) -> DataFrame:
+    """(ckey, q_id, i_id, p, left, right): pairs for a costly second scorer, with the texts it reads."""
+    said = reranker_text(F.col("business_name"), F.col("business_address"), F.col("country"))
+    side = lambda s, name: recs.where(F.col("side") == s).select("ckey", F.col("rec_id").alias(f"{s}_id"), said.alias(name))
+    return shortlist(scored, least, limit).select("ckey", "q_id", "i_id", "p").join(side("q", "left"), ["ckey", "q_id"]).join(side("i", "right"), ["ckey", "i_id"])
+
+
+def reranked(scored: DataFrame, other: DataFrame, weight: float) -> DataFrame:
+    """``scored`` with the probabilities of ``other`` (q_id, i_id, r) mixed in where it has one."""
+    x = scored.join(other.select("q_id", "i_id", F.col("r").alias("_r")), ["q_id", "i_id"], "left")
+    return x.withColumn("p", blend(F.col("p"), F.col("_r"), weight)).drop("_r")
+
+
+def evaluate_blends(scored: DataFrame, other: DataFrame, truth: DataFrame, entities: DataFrame, how: dict, weights: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """(weight, f05) of the decision ``how`` after mixing; a row a weight."""
+    rows = []
+    for w in weights:
+        chosen = D.apply_decision(reranked(scored, other, w), how["kind"], how["tau"], how["gamma"] or 0.0, how["miss"] or 0.0)
+        counts = D.entity_counts(entities, truth, chosen)
+        rows.append(counts.agg(F.lit(w).alias("weight"), D.macro_f05(counts).alias("f05")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def blocking_report(recs: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """(ckey, recall, reduction, pairs_per_query)."""
     n = recs.groupBy("ckey").agg(F.count_if(F.col("side") == "q").alias("nq"), F.count_if(F.col("side") == "i").alias("ni"))
