@@ -159,3 +159,25 @@ def test_copies_just_similar_enough(spark):
     rows = [(2 * p + k, t) for p, pair in enumerate(pairs) for k, t in enumerate(pair)]
     got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(x.doc_id for x in got.collect()) == list(range(0, len(rows), 2))
+
+
+def test_groups_cut_into_blocks(spark, monkeypatch):
+    """One large group of near copies, compared in blocks of some texts, and unlike texts that share a passage with it."""
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 6_000)
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for d in range(40):
+        words = list(base)
+        words[r.randrange(200)] = f"x{d}"
+        rows.append((d, " ".join(words)))
+    rows += [(100 + d, " ".join(base[:150] + [f"o{d}w{i}" for i in range(120)])) for d in range(6)]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == [0, *range(100, 106)]
+
+
+def test_ids_that_stand_twice_join_no_unlike_classes(spark):
+    texts = ["a b c d e", "q r s t u v", "k l m n o p"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[1]), (3, texts[2]), (3, texts[0])]
+    got = {(x.did, x.fp): x.component for x in simhash.components(simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sorted(got.values()) == [3, 3, 3, 7, 7]

@@ -77,3 +77,15 @@ def test_stage_keeps_clean_rows(spark):
     docs = spark.createDataFrame([(1, text, "en"), (2, f"a b\n{text} c", "en"), (3, text, "de"), (4, None, "fr"), (5, "a  b", "fr")], "doc_id long, text string, lang string")
     got = {x.doc_id: (x.text, x.lang) for x in substring.without_repeats(docs).collect()}
     assert got == {1: (text, "en"), 2: ("a b c", "en"), 4: ("", "fr"), 5: ("a  b", "fr")}
+
+
+def test_a_passage_that_very_many_documents_hold(spark, monkeypatch):
+    monkeypatch.setattr(substring.C, "HEAVY", 7)
+    r = random.Random(2)
+    words = lambda n: [f"v{r.randint(0, 9999)}" for _ in range(n)]
+    passage, copy = words(70), words(90)
+    rows = [(i, " ".join(words(r.randint(0, 40)) + passage + words(r.randint(0, 40)))) for i in range(300)]
+    rows += [(1000 + i, " ".join(copy)) for i in range(300)] + [(1000, " ".join(copy)), (None, " ".join(copy)), (None, " ".join(copy))]
+    got = sorted((tuple(x) for x in substring.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = brute([(2**63 - 1 if d is None else d, t) for d, t in rows], 50)
+    assert got == sorted(((None if d == 2**63 - 1 else d, *x) for d, *x in want), key=str)
