@@ -12,7 +12,7 @@ from kinweave.sources.synthetic import generate
 from kinweave.streaming.incremental import best_of_batch, link_stream, name_pair_keys
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents embeddings part labels".split()
+TABLES = "documents embeddings part labels customer supplier nation orders".split()
 
 
 def value(x):
