@@ -31,6 +31,7 @@ from .pieces import Pieces, byte_of_char, shipped
 VOCABULARY = "byte_bpe_50k.json"
 _TABLE_CELLS = 200_000
 _HEAD = 4
+_SHORT = tuple(range(_HEAD - 1, 0, -1))
 
 
 class Automaton:
@@ -50,11 +51,12 @@ class Automaton:
         for t in sorted(self.left, key=self.birth.__getitem__):
             if all(self.whole.get(labels[x]) == x for x in (self.left[t], self.right[t])) and self._alive(self.left[t], self.right[t], self.birth[t]):
                 self.whole[labels[t]] = t
-        #: Width of the widest arc by the first _HEAD bytes of its label.
-        self.reach: dict[bytes, int] = {}
+        #: Widths of arcs, widest first, by the first _HEAD bytes of their labels; shorter ones may follow any.
+        found: dict[bytes, set[int]] = {}
         for label in self.whole:
             if len(label) >= _HEAD:
-                self.reach[label[:_HEAD]] = max(len(label), self.reach.get(label[:_HEAD], 0))
+                found.setdefault(label[:_HEAD], set()).add(len(label))
+        self.widths = {head: (*sorted(own, reverse=True), *_SHORT) for head, own in found.items()}
 
     def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
         self.death.setdefault((u, v), time)  # arc v behind u ends now
@@ -90,34 +92,35 @@ class Automaton:
         if (t := self.whole.get(word)) is not None:
             return [t]
         n, at = len(word), 0
-        reach = self.reach.get
-        width = min(reach(word[:_HEAD], _HEAD - 1), n)
+        widths, labels, table = self.widths.get, self.whole.get, self.table.get
         path: list[int] = []
-        widths: list[int] = []
+        taken: list[tuple[int, tuple[int, ...], int]] = []  # of each arc: its width, the widths at its start, how many were tried
         closed = bytearray(n + 1)  # one path reaches each place, so a place that led nowhere once leads nowhere
-        labels, table = self.whole, self.table
+        own, k = widths(word[:_HEAD], _SHORT), 0
         while at < n:
-            while width:
-                t = labels.get(word[at : at + width])
-                if t is not None and not closed[at + width]:
-                    if not path:
-                        break
-                    if (ok := table.get(path[-1] << 20 | t)) is None:
-                        ok = self.arc(path[-1], t)
-                    if ok:
-                        break
-                width -= 1
-            if width:
+            t = None
+            while k < len(own):
+                end = at + own[k]
+                k += 1
+                if end > n or closed[end] or (t := labels(word[at:end])) is None:
+                    continue
+                if not path:
+                    break
+                if (ok := table(path[-1] << 20 | t)) is None:
+                    ok = self.arc(path[-1], t)
+                if ok:
+                    break
+                t = None
+            if t is not None:
                 path.append(t)
-                widths.append(width)
-                at += width
-                width = min(reach(word[at : at + _HEAD], _HEAD - 1), n - at)
+                taken.append((end - at, own, k))
+                at = end
+                own, k = widths(word[at : at + _HEAD], _SHORT), 0
             else:
                 closed[at] = 1
                 path.pop()
-                width = widths.pop()
+                width, own, k = taken.pop()
                 at -= width
-                width -= 1
         return path
 
 

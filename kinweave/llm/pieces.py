@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 #: The pre-splitting pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a memo's younger half; when it is full it becomes the older one, and entries in use move back.
-MEMO_PIECES = 100_000
+MEMO_PIECES = 200_000
 _MEMO_CHARS = 64
 _SPLIT = regex.compile(PATTERN)
 
@@ -67,7 +67,8 @@ class Pieces:
         if not piece or piece[0].isspace():
             raise _Uneven
         word = " " + piece
-        return self.words[word] if piece.isascii() and piece.isalpha() else self._slow(word)
+        # kept by the caller's memo under the piece: once is enough
+        return self.words.compute(word) if piece.isascii() and piece.isalpha() else self._slow(word)
 
     def _slow(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
