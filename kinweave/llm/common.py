@@ -44,10 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Scratch folders of this process that still stand.
 _made: list[str] = []
+_hooked: list[SparkSession] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    if not _made:
+    if spark not in _hooked:
+        _hooked.append(spark)
         atexit.register(release, spark)
     _made.append(f"{shared_dir(spark)}/kinweave-{label}-{uuid.uuid4().hex}")
     return _made[-1]
@@ -61,7 +63,8 @@ def release(spark: SparkSession, made: list[str] | None = None) -> None:
     for path in list(_made if made is None else made):
         where = context._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+        if path in _made:
+            _made.remove(path)
 
 
 @contextmanager
