@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 #: The pre-splitting pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a memo's younger half; when it is full it becomes the older one, and entries in use move back.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 150_000
 _MEMO_CHARS = 64
 _SPLIT = regex.compile(PATTERN)
 
