@@ -20,6 +20,7 @@ only. Other columns are left out. An empty table makes shards without documents.
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import zlib
@@ -50,6 +51,8 @@ _FOOTER = struct.Struct("<6Q8s")
 
 
 _TAIL = string.punctuation
+#: A space before white space or at the end: such texts are not cut at spaces.
+_UNEVEN = re.compile(r" (?:\s|\Z)")
 MEMO_WORDS, _ROW = 1_100_000, 500
 
 
@@ -131,7 +134,7 @@ class LibraryCoder:
             ids = list(map(known, pieces))
             gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
             new = [pieces[k] for k in gaps]
-            if pieces and not first or any(not p or p[0].isspace() for p in new):
+            if pieces and not first or gaps and _UNEVEN.search(text):
                 continue
             missing.update(new)
             firsts.append(first)
