@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .pieces import Pieces, byte_of_char, shipped
+from .pieces import MEMO_PIECES, Pieces, byte_of_char, shipped
 
 VOCABULARY = "byte_bpe_50k.json"
 _TABLE_CELLS = 200_000
@@ -127,7 +127,7 @@ class Automaton:
 class Coder:
     """Encoding and decoding with one vocabulary, the bytes of its JSON file."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, memo: int = MEMO_PIECES):
         spec = json.loads(data)
         chars, model = byte_of_char(), spec["model"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -139,7 +139,7 @@ class Coder:
         self.label_of = np.empty(max(self.labels) + 1, object)
         for i, label in self.labels.items():
             self.label_of[i] = label
-        self.pieces = Pieces(self.added, lambda w: np.array(self.automaton.encode(w.encode()), np.int32).tobytes())
+        self.pieces = Pieces(self.added, lambda w: np.array(self.automaton.encode(w.encode()), np.int32).tobytes(), memo)
 
     def encode(self, text: str) -> np.ndarray:
         return self.pieces.ids(text)
@@ -149,9 +149,9 @@ class Coder:
 
 
 @lru_cache(2)
-def coder(data: bytes) -> Coder:
+def coder(data: bytes, memo: int = MEMO_PIECES) -> Coder:
     """One for all tasks of a worker, so its memo lasts."""
-    return Coder(data)
+    return Coder(data, memo)
 
 
 def ids_array(parts: list[np.ndarray]) -> pa.ListArray:
@@ -180,12 +180,15 @@ class _Digests:
         return [pa.array(list(map(len, ids)), pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(did, rest, ids array<int>); with ``digest`` the ids are decoded again in the same pass, and the digests of both added."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, memo: int = MEMO_PIECES) -> DataFrame:
+    """(did, rest, ids array<int>); with ``digest`` the ids are decoded again in the same pass, and the digests of both added.
+
+    ``memo``: pieces that a worker keeps the ids of, for as long as it lives, some 200 bytes each.
+    """
     rows, data = C.keyed(docs, id_col, text_col), shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(data.value)
+        c = coder(data.value, memo)
         d = _Digests(c)
         for b in batches:
             ids = [c.encode(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]

@@ -38,17 +38,17 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Memo(dict):
-    """What short keys map to, computed on first use; holds at most twice MEMO_PIECES."""
+    """What short keys map to, computed on first use; holds at most twice ``limit``."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
+    def __init__(self, compute: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key: str) -> bytes:
         if (found := self.old.get(key)) is None:
             found = self.compute(key)
         if len(key) <= _MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[key] = found
@@ -58,10 +58,10 @@ class Memo(dict):
 class Pieces:
     """Encodes texts piece by piece; ``encode(word)`` gives the ids of one pre-split word as int32 bytes."""
 
-    def __init__(self, special: dict[str, int], encode: Callable[[str], bytes]):
+    def __init__(self, special: dict[str, int], encode: Callable[[str], bytes], memo: int = MEMO_PIECES):
         self.special = special
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.words, self.memo = Memo(encode), Memo(self._piece)
+        self.words, self.memo = Memo(encode, memo), Memo(self._piece, memo)
 
     def _piece(self, piece: str) -> bytes:
         if not piece or piece[0].isspace():
