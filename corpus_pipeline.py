@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from kinweave.llm import bpe, common, decontaminate, langid, simhash, substring
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Workers that encode go on to other stages, and keep their memos: smaller ones than for encoding alone.
+MEMO_PIECES = 20_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    found = bpe.encode(docs, path, digest=True)
+    found = bpe.encode(docs, path, digest=True, memo=MEMO_PIECES)
     return found.select(common.plain_id().alias("doc_id"), "rest.lang", "rest.source", "n_tokens", F.col("ids").alias("token_ids"), "ids_sha256", "decoded_sha256")
 
 
