@@ -7,8 +7,9 @@ costs one row a member. Components follow from large-star / small-star rounds.
 
 Near copies by similarity: wide fingerprints (``WORDS`` x 64 bits) of distinct five-word shingles. SimHash distance
 measures an angle, and sets of Jaccard similarity s and like size have the cosine 2s / (1 + s); the radius is the
-distance that angle gives. Meetings filter on the first 64 bits, then on all. What they link are candidates: inside
-each group of them the exact Jaccard similarity of the shingle sets decides.
+distance that angle gives. Only sets meet whose sizes allow the similarity (the smaller has s times the larger at
+least). Meetings filter on the first 64 bits, then on all. What they link are candidates: inside each group of them the
+exact Jaccard similarity of the shingle sets decides.
 
 Null text: no words, fingerprint zero, linked like any other. Null id: after every other id. Rows with one id and
 different fingerprints all stay; rows with one fingerprint share a component. Empty tables give empty results.
@@ -29,7 +30,8 @@ from . import common as C
 
 SEED = 42
 TILE_MAX, TILE_MIN, TILES = 131_072, 2_048, 16
-_ROWS, _COLS = 1024, 2048
+#: Fingerprints compared at a time: few rows, so that what is made of them stays in a core's cache.
+_ROWS, _COLS = 32, 1 << 13
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -114,16 +116,18 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarra
         node = np.flatnonzero(lab != np.arange(n))
         return node, lab[node]
 
+    second = None if wide is None else np.ascontiguousarray(wide[:, 1])
     for i in range(0, len(x), _ROWS):
-        for j in range((i // _COLS) * _COLS if same else 0, len(y), _COLS):
-            near = np.bitwise_count(x[i : i + _ROWS, None] ^ y[None, j : j + _COLS]) <= radius
-            hit = np.flatnonzero(near)
+        for j in range(i if same else 0, len(y), _COLS):
+            count = np.bitwise_count(x[i : i + _ROWS, None] ^ y[None, j : j + _COLS])
+            hit = np.flatnonzero(count <= radius)
             if len(hit):
-                r, c = np.divmod(hit, near.shape[1])
+                r, c = divmod(hit, count.shape[1]) if count.shape[1] != _COLS else (hit >> 13, hit & (_COLS - 1))
                 r, c = r + i, c + j + shift
                 if wide is not None:
-                    far = np.bitwise_count(wide[r, :2] ^ wide[c, :2]).sum(axis=1)
-                    r, c = r[far <= wide_radius[0]], c[far <= wide_radius[0]]
+                    # the first word is the fingerprint itself
+                    near = count.ravel()[hit] + np.bitwise_count(second[r] ^ second[c]) <= wide_radius[0]
+                    r, c = r[near], c[near]
                 if wide is not None and len(r):
                     far = np.concatenate([np.bitwise_count(wide[r[k : k + 65536]] ^ wide[c[k : k + 65536]]).sum(axis=1) for k in range(0, len(r), 65536)])
                     r, c = r[far <= wide_radius[1]], c[far <= wide_radius[1]]
@@ -136,14 +140,31 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, wide: np.ndarra
     return forest()
 
 
+def size_class(n: Column, similarity: float) -> Column:
+    """Classes of set sizes, four to a factor of 1 / similarity: sets of this similarity are ``SIZE_REACH`` classes apart at most."""
+    steps = SIZE_REACH / -np.log(similarity) * (1 - 1e-6)  # a little wide, so that rounding parts no pair
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) * steps).cast("int")
+
+
+SIZE_REACH = 4
+
+
 def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
-    """(x, y): tiles (arrays of the columns of reps) that have to meet; y null for a tile by itself."""
-    step = max(1, radius // 2)  # tiles hold a class of population counts
-    reach = (radius + step - 1) // step
-    tiled = reps.withColumn("p", F.expr(f"cast(bit_count(fp) div {step} as int)"))
-    count = {int(r["p"]): int(r["n"]) for r in tiled.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    """(x, y): tiles (arrays of the columns of reps) that have to meet; y null for a tile by itself.
+
+    Tiles hold a class of population counts, or of what the column ``class`` has: tiles up to SIZE_REACH classes apart meet.
+    """
+    if "class" in reps.columns:
+        reach, tiled = SIZE_REACH, reps.withColumnRenamed("class", "p")
+        reps = reps.drop("class")
+    else:
+        step = max(1, radius // 2)
+        reach = (radius + step - 1) // step
+        tiled = reps.withColumn("p", F.expr(f"cast(bit_count(fp) div {step} as int)"))
+    count = {int(r["p"]): int(r["n"]) for r in tiled.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 65 rows at most, or some hundreds of size classes
+    last = max(count, default=0)
     size = min(TILE_MAX, max(TILE_MIN, sum(count.values()) // TILES))
-    slots = F.array(*[F.lit(-(-count.get(p, 0) // size)) for p in range(64 // step + 1)])
+    slots = F.array(*[F.lit(-(-count.get(p, 0) // size)) for p in range(last + 1)])
     tiled = tiled.withColumn("s", F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), slots[F.col("p")])).cast("int"))
     tiles = tiled.groupBy("p", "s").agg(F.collect_list(F.struct(*reps.columns)).alias("tile"))
     slot_type = "array<struct<p:int,s:int>>"
@@ -152,7 +173,7 @@ def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
         n = F.get(slots, q)
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.struct(q.alias("p"), s.alias("s")))).otherwise(F.lit(None).cast(slot_type))
 
-    classes = F.sequence(F.greatest(F.col("p") - reach, F.lit(0)), F.least(F.col("p") + reach, F.lit(64 // step)))
+    classes = F.sequence(F.greatest(F.col("p") - reach, F.lit(0)), F.least(F.col("p") + reach, F.lit(last)))
     near = F.flatten(F.filter(F.transform(classes, meetings), lambda x: x.isNotNull()))
     sent = tiles.select(F.struct("p", "s").alias("own"), "tile", F.explode(near).alias("other"))
     sent = sent.select("own", "tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -164,7 +185,7 @@ def tile_pairs(reps: DataFrame, radius: int) -> DataFrame:
 def links(reps: DataFrame, radius: int, wide_radius: tuple[int, int] = (0, 0)) -> DataFrame:
     """(a, b): representatives whose fingerprints differ in at most ``radius`` bits, reduced to spanning forests.
 
-    reps: (fp, rep), and for similarity (fp, rep, wide). A pair of tiles is a row of some megabytes: they travel one by one.
+    reps: (fp, rep), and for similarity (fp, rep, wide, class). A pair of tiles is a row of some megabytes: they travel one by one.
     """
     has_wide = "wide" in reps.columns
 
@@ -333,7 +354,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # equal shingle sets are one node
         nodes = prints.groupBy("fp", "wide", "rep").agg(F.min(F.struct("did", "s1", "s2")).alias("low"), F.first("heads").alias("heads"), F.first("n").alias("n"))
         nodes = C.stored(nodes.drop("rep").withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
-        close = links(nodes.select("fp", F.col("node").alias("rep"), "wide"), reach_of(similarity, 64, FIRST_SPREAD), (reach_of(similarity, 128, SPREAD), reach_of(similarity, 64 * WORDS, SPREAD)))
+        close = links(nodes.select("fp", F.col("node").alias("rep"), "wide", size_class(F.col("n"), similarity).alias("class")), reach_of(similarity, 64, FIRST_SPREAD), (reach_of(similarity, 128, SPREAD), reach_of(similarity, 64 * WORDS, SPREAD)))
         found = C.connected_components(close.union(_few_links(nodes)), "near-candidates")
         found = found.select("node", "component").union(found.select("component", "component")).distinct()
         near = C.stored(found.join(nodes, "node").select("component", "node", "low.s1", "low.s2", "n"), "near-members")

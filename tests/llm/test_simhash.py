@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from kinweave.llm import common, simhash
 
@@ -181,3 +182,20 @@ def test_ids_that_stand_twice_join_no_unlike_classes(spark):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[1]), (3, texts[2]), (3, texts[0])]
     got = {(x.did, x.fp): x.component for x in simhash.components(simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert sorted(got.values()) == [3, 3, 3, 7, 7]
+
+
+def test_only_sets_of_like_size_meet(spark):
+    """Sizes on both sides of each bound: all pairs that may be similar meet, sizes far apart do not."""
+    sizes = [0, 1, 4, 5, *range(40, 60, 3), 80, 100, 125, 400, 500, 512, 640, 641, 5000, 6250, 100_000]
+    rows = [(i * 7919, i, n) for i, n in enumerate(sizes)]
+    reps = spark.createDataFrame(rows, "fp long, rep long, n long").withColumn("class", simhash.size_class(F.col("n"), 0.8)).drop("n")
+    met = set()
+    for r in simhash.tile_pairs(reps, 24).collect():
+        x, y = [t.rep for t in r.x], [t.rep for t in r.y] if r.y else None
+        met |= {frozenset((a, b)) for a in x for b in (x if y is None else y)}
+    for i, a in enumerate(sizes):
+        for j, b in enumerate(sizes[:i]):
+            if min(a, b) >= 0.8 * max(a, b):
+                assert frozenset((i, j)) in met, (a, b)
+            elif max(min(a, b), 1) < 0.63 * max(a, b):
+                assert frozenset((i, j)) not in met, (a, b)
