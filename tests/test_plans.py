@@ -139,3 +139,13 @@ def test_rare_words_of_long_texts(spark, monkeypatch, common):
     recs = spark.createDataFrame(rows, "ckey string, rec_id long, side string, a_alpha string")
     got, want = (sorted(tuple(r) for r in f(recs, "a_alpha", 2).collect()) for f in (B.rare_words, B.rare_tokens))
     assert got and got == want
+
+
+def test_pairs_carry_what_scorers_read(spark, tmp_path):
+    """Addresses of 40,000 letters do not travel once a pair."""
+    rows = [(d, f"name{d % 9} of{d % 5} some{d % 4} house " + " ".join(f"w{chr(97 + (d * j) % 25)}z" for j in range(10_000)), "en") for d in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled(spark)
+    x = QUERIES["pair_features"](spark, str(tmp_path))
+    assert {r.a_len_i for r in x.select("a_len_i").collect()} == {39_999.0}
+    assert shuffled(spark) - before < 3_000_000, shuffled(spark) - before
