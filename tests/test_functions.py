@@ -9,7 +9,7 @@ from kinweave.functions import similarity as S
 from kinweave.functions import text as T
 from kinweave.functions.addresses import normalize_addresses
 from kinweave.functions.names import normalize_names
-from kinweave.functions.phonetic import nysiis
+from kinweave.functions.phonetic import nysiis, spoken
 from kinweave.functions.tags import address_tags, name_tags
 
 WORDS = st.text(alphabet="abcde fgh", max_size=14)
@@ -116,3 +116,14 @@ def test_skeleton_of_a_very_long_token(spark):
     long = "b" + "aeiou" * 600 + "ktr"
     got = spark.createDataFrame([(long,), ("",), (None,)], "t string").select(text.skeleton(F.col("t")).alias("s")).collect()
     assert [r.s for r in got] == ["bktr", "", None]
+
+
+def test_skeletons_of_words_are_those_of_the_expression(spark):
+    said = ["phone which shahh photograph bhaag wizard quay hhh aeiou mississippi queueing thththe", "tree", "", None, "zhhz xxq oooo"]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    want = F.array_join(F.transform(T.tokens(F.col("s")), T.skeleton), " ").alias("want")
+    code = lambda least: spoken(F.lit("knight ab"), F.col("s"), least)
+    got = df.select(want, code(500)["skel"].alias("all"), code(7)["skel"].alias("few"), code(7)["phon"].alias("phon")).collect()
+    assert [r["all"] for r in got] == [r.want for r in got]
+    assert [r.few and r.few[:7] for r in got] == [r.want and r.want[:7] for r in got] and len(got[0].few) < len(got[0].want)
+    assert {r.phon for r in got} == {f"{nysiis('knight')} {nysiis('ab')}"}
